@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..runtime import table
 from .components import group_terms
+from .encoding import encode, token_counts
 from .frequencies import bg_rows, hyp_records, mark_terms, term_counts
+from .packing import pack
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,5 +37,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(h, "hyp").unionByName(named(b, "bg"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return pack(sizes, table(spark, sf_dir, "containers"))
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p7_ids": p7_ids, "p8_pack": p8_pack}
 SQL: dict[str, str] = {}
