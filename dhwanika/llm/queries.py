@@ -9,7 +9,9 @@ from ..runtime import table
 from .components import group_terms
 from .encoding import encode, token_counts
 from .frequencies import bg_rows, hyp_records, mark_terms, term_counts
+from .looks import same_looking_columns, same_looking_rows, unify
 from .packing import pack
+from .texts import usable
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +39,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(h, "hyp").unionByName(named(b, "bg"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "aligned").filter(usable("ref") & usable("hyp"))
+    both = same_looking_columns(rows, "utt_id", "ref", "hyp")
+    words = same_looking_rows(table(spark, sf_dir, "lexicon"), "lex_id", "word")
+    return both.select(F.lit("aligned").alias("tab"), F.col("utt_id").alias("id_a"), F.col("utt_id").alias("id_b")).unionByName(
+        words.select(F.lit("lexicon").alias("tab"), "id_a", "id_b")
+    )
+
+
+def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unify(table(spark, sf_dir, "aligned").select("utt_id", "ref", "hyp"), ["ref", "hyp"])
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -46,5 +61,5 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes, table(spark, sf_dir, "containers"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p7_ids": p7_ids, "p8_pack": p8_pack}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_pack": p8_pack}
 SQL: dict[str, str] = {}
