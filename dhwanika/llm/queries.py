@@ -9,11 +9,22 @@ from ..runtime import table
 from .components import group_terms
 from .encoding import encode, token_counts
 from .frequencies import bg_rows, hyp_records, mark_terms, term_counts
+from .languages import detect, fit, mislabelled
 from .looks import same_looking_columns, same_looking_rows, unify
 from .packing import pack
 from .texts import usable
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mislabelled(table(spark, sf_dir, "aligned"), fit(table(spark, sf_dir, "lang_samples")))
+
+
+def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ref with its language, and every stretch of it."""
+    rows = table(spark, sf_dir, "aligned").filter(usable("ref"))
+    return detect(rows, "utt_id", "ref", fit(table(spark, sf_dir, "lang_samples")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_terms(table(spark, sf_dir, "pair_labels"))
 
@@ -61,5 +72,5 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes, table(spark, sf_dir, "containers"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_pack": p8_pack}
+QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_pack": p8_pack}
 SQL: dict[str, str] = {}
