@@ -94,3 +94,25 @@ def once_per_key(df: DataFrame, key: str, order: str, columns: list[str]) -> Dat
     )
     loose = df.filter(F.col(key).isNull()).select(key, *columns)
     return keyed.unionByName(loose)
+
+
+HOT_SHARE, HOT_ROWS, SALTS = 200, 10_000, 64
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> list:
+    """Keys that hold over 1/200 of all rows (so at most 200 of them) and over 10,000 rows."""
+    limit = max(total // HOT_SHARE, HOT_ROWS)
+    return [r[key] for r in counts.filter(F.col(n) > limit).select(key).collect()]
+
+
+def join_salted(rows: DataFrame, unique: DataFrame, key: str, spread: str, hot: list) -> DataFrame:
+    """Inner equi-join of ``rows`` with a side that has one row per ``key``.
+
+    Rows of the hot keys are divided over 64 parts by a hash of ``spread``, and the other side's row
+    is repeated for each part, so no task gets all rows of a hot key.
+    """
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    part = F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = unique.select("*", F.explode(parts).alias("_part"))
+    return rows.withColumn("_part", part).join(right, [key, "_part"]).drop("_part")
