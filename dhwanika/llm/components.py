@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import Materialized, materialize, strip
+from ..runtime import Materialized, hot_keys, join_salted, materialize, strip
 
 CELL_EDGES = 50_000
 
@@ -164,7 +164,6 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", cell_edge
 
 #: Judgements that make two terms the same form; fixed values of the data model.
 SAME = ("SAME_WORD", "SAME_MEANING")
-HOT_SHARE, SALTS = 200, 64
 
 
 def _vertex_ids(terms: DataFrame) -> int:
@@ -217,14 +216,5 @@ def group_terms(
         terms.df.withColumn("id", vertex("term")).join(roots, "id").select("term", "root"), "placed"
     )
     least = placed.df.groupBy("root").agg(F.min("term").alias("group_term"), F.count("*").alias("n"))
-    # groups that hold over 1/200 of all terms (so at most 200 of them) are joined in 64 parts
-    total = placed.df.count()
-    hot = [r["root"] for r in least.filter(F.col("n") > max(total // HOT_SHARE, 10_000)).select("root").collect()]
-    is_hot = F.col("root").isin(hot) if hot else F.lit(False)
-    part = F.when(is_hot, F.pmod(F.xxhash64("term"), F.lit(SALTS))).otherwise(0).cast("long")
-    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return (
-        placed.df.withColumn("part", part)
-        .join(least.select("root", "group_term", F.explode(parts.cast("array<long>")).alias("part")), ["root", "part"])
-        .select("term", "group_term")
-    )
+    hot = hot_keys(least, "root", "n", placed.df.count())
+    return join_salted(placed.df, least.drop("n"), "root", "term", hot).select("term", "group_term")

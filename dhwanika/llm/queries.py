@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import once_per_key, strip, table
+from .canon import canonicalise
 from .components import group_terms
 from .encoding import encode, token_counts
 from .frequencies import bg_rows, hyp_records, mark_terms, term_counts
@@ -25,6 +26,35 @@ def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(rows, "utt_id", "ref", fit(table(spark, sf_dir, "lang_samples")))
 
 
+def _lexicon_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spellings and local names of the terms; a term is a spelling of itself."""
+    words = table(spark, sf_dir, "lexicon").select("word", "word_norm")
+    own = words.select(F.col("word_norm").alias("form"), F.col("word_norm").alias("canon"))
+    return words.select(F.col("word").alias("form"), F.col("word_norm").alias("canon")).unionByName(own).distinct()
+
+
+def _weight_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the weights: the number, either name, both together, and the number after a w."""
+    w = table(spark, sf_dir, "weight_scale").withColumn("n", F.col("weight").cast("string"))
+    forms = [F.col("n"), F.concat(F.lit("w"), "n"), F.concat(F.lit("weight "), "n")]
+    for name in ("name_en", "name_hi"):
+        forms += [F.col(name), F.concat_ws(" ", name, "n"), F.concat_ws(" ", "n", name)]
+    return w.select(F.explode(F.array(*forms)).alias("form"), F.col("n").alias("canon"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _lexicon_forms(spark, sf_dir)
+    norms = words.select(strip(F.col("canon")).alias("hyp")).dropna().distinct()
+    typed = once_per_key(table(spark, sf_dir, "aligned").filter("task = 'term'"), "utt_id", "received_at", ["hyp"])
+    typed = typed.filter(usable("hyp")).join(norms, "hyp", "left_anti")
+    terms = canonicalise(typed, "utt_id", "hyp", words, "form", "canon")
+    lexicon = table(spark, sf_dir, "lexicon")
+    free = lexicon.filter((strip(F.col("relevance_mode")) != "") & ~F.col("relevance_mode").isin("4", "3", "2", "1"))
+    weights = canonicalise(free, "lex_id", "relevance_mode", _weight_forms(spark, sf_dir), "form", "canon")
+    named = lambda d, tab, key: d.select(F.lit(tab).alias("tab"), F.col(key).alias("rec_id"), F.coalesce("canon", F.lit("-")).alias("canon"))
+    return named(terms, "aligned", "utt_id").unionByName(named(weights, "lexicon", "lex_id"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_terms(table(spark, sf_dir, "pair_labels"))
 
@@ -72,5 +102,5 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes, table(spark, sf_dir, "containers"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_pack": p8_pack}
+QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_pack": p8_pack}
 SQL: dict[str, str] = {}
