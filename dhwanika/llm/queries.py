@@ -14,6 +14,7 @@ from .languages import detect, fit, mislabelled
 from .looks import same_looking_columns, same_looking_rows, unify
 from .packing import pack
 from .texts import usable
+from .truncation import rates, truncated
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,5 +103,13 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes, table(spark, sf_dir, "containers"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_pack": p8_pack}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncated(table(spark, sf_dir, "documents")).filter("truncated").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates(truncated(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_pack": p8_pack, "p9_found": p9_found, "p9_rates": p9_rates}
 SQL: dict[str, str] = {}
