@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import hot_keys, join_salted, materialize, strip
+from ..runtime import hot_keys, join_salted, materialize, shuffle_partitions, strip
 from .looks import look
 from .romanise import romanise
 
@@ -222,7 +222,7 @@ def canonicalise(df: DataFrame, key_col: str, value: str, entries: DataFrame, fo
     for b in range(blocks):
         own = listed.filter(F.pmod(F.xxhash64("form", "canon"), F.lit(blocks)) == b).collect()
         shared = spark.sparkContext.broadcast(([r["form"] for r in own], [r["canon"] for r in own]))
-        parts.append(held.df.select("value").repartition("value").mapInArrow(_ranker(shared), RANKED))
+        parts.append(held.df.select("value").repartition(shuffle_partitions(spark), "value").mapInArrow(_ranker(shared), RANKED))
     ranked = parts[0]
     for p in parts[1:]:
         ranked = ranked.unionByName(p)
