@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import intervals
+from . import intervals, text
 
-FLAGSHIP = "p5_found"
-PARTS = [intervals]
+FLAGSHIP = "normalize_dispatch"
+PARTS = [intervals, text]
 QUERIES = {k: f for p in PARTS for k, f in p.QUERIES.items()}
 SQL = {k: q for p in PARTS for k, q in p.SQL.items()}
