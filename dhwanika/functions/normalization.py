@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .unicode import NUKTA, decimal_digits, nfc, squeeze
+from .unicode import NUKTA, decimal_digits, nfc, once, squeeze
 
 # Number words of the three languages, in natural order.
 HINDI_UNITS = ["", "एक", "दो", "तीन", "चार", "पांच", "छह", "सात", "आठ", "नौ"]
@@ -138,13 +138,15 @@ def _normalize(c: Column, words: NumberWords, dandas: bool = False, before: str
     t = nfc(c.cast("string"))
     if before:
         t = F.translate(t, before, "")
-    t = strip_brackets(fold_digits(t))
-    too_long = t.rlike(f"[0-9]{{{MOST_DIGITS + 1}}}")
-    t = speak_numbers(t, words)
-    if after:
-        t = F.translate(t, after, "")
-    t = squeeze(strip_punctuation(t, dandas))
-    return F.when(c.isNull(), F.lit(None).cast("string")).when(too_long | (t == ""), F.lit(NOTHING)).otherwise(t)
+
+    def finish(text: Column) -> Column:
+        t = speak_numbers(text, words)
+        if after:
+            t = F.translate(t, after, "")
+        left = squeeze(strip_punctuation(t, dandas))
+        return F.when(text.rlike(f"[0-9]{{{MOST_DIGITS + 1}}}"), F.lit(NOTHING)).otherwise(F.coalesce(F.nullif(left, F.lit("")), F.lit(NOTHING)))
+
+    return F.when(c.isNotNull(), once(finish, strip_brackets(fold_digits(t))))
 
 
 def language(lang: Column) -> Column:

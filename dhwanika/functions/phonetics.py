@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .unicode import WHITE, bare_word, odd_digits, squeeze
+from .unicode import WHITE, bare_word, odd_digits, once, squeeze
 
 # Consonant classes, vowels and vowel signs.
 CONSONANTS = {
@@ -93,15 +93,6 @@ def indel_cost(c: Column) -> Column:
     return F.when(F.instr(F.lit(LIGHT), c) > 0, LIGHT_COST).otherwise(FULL_COST)
 
 
-def once(f, *columns: Column) -> Column:
-    """``f`` of the columns, each evaluated once before ``f``'s lambdas see it.
-
-    Lambdas may then use columns that come from an Arrow UDF, which Spark doesn't allow inside them.
-    """
-    packed = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
-    return F.get(F.transform(F.array(packed), lambda p: f(*[p[f"c{i}"] for i in range(len(columns))])), F.lit(0))
-
-
 def pdist(a: Column, b: Column) -> Column:
     """Weighted edit distance of two phoneme strings; null if either is null."""
     return once(_pdist, a, b)

@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions.normalization import NOTHING, Normalizer, normalize, normalize_hindi
-from ..functions.phonetics import once
-from ..functions.unicode import words
-from ..runtime import strip
+from ..functions.unicode import once, words
+from ..runtime import materialize, strip
 
 
-def _inner(r: Column, h: Column, x: Column) -> Column:
-    """Part of ``x`` (as long as ``r`` or ``h``) between the common head and tail of ``r`` and ``h``."""
-    head, tail = _common(r, h)
-    return F.slice(x, head + 1, F.greatest(F.size(x) - head - tail, F.lit(0)))
-
-
-def _common(r: Column, h: Column) -> tuple[Column, Column]:
-    least = F.least(F.size(r), F.size(h))
-    run = lambda a, b: F.coalesce(F.nullif(F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False), F.lit(0).cast("long")) - 1, least.cast("long")).cast("int")
-    head = F.least(run(r, h), least)
-    cut = lambda a: F.reverse(F.slice(a, head + 1, F.greatest(F.size(a) - head, F.lit(0))))
-    tail = F.least(run(cut(r), cut(h)), least - head)
-    return head, tail
-
-
-def alignment(ref: Column, hyp: Column, ref_weights: Column, hyp_weights: Column) -> Column:
-    """struct<edits, weight>: least number of word edits, and what they weigh.
+def best_alignment(r: list, h: list, wr: list, wh: list) -> tuple[int, float]:
+    """Least number of word edits between ``r`` and ``h``, and what they weigh.
 
     Substitutions and deletions weigh as the reference word, insertions as the hypothesis word.  Of
     alignments with equally few edits this is the one found from the end, after common head and tail
@@ -35,48 +22,78 @@ def alignment(ref: Column, hyp: Column, ref_weights: Column, hyp_weights: Column
     cell before it is one better than the diagonal, else the diagonal.  The choice depends on
     neighbouring cells only, so it is made on the way forward and no path is kept.
     """
-    return once(_alignment, ref, hyp, ref_weights, hyp_weights)
-
-
-def _alignment(r: Column, h: Column, wr: Column, wh: Column) -> Column:
-    return once(_table, _inner(r, h, r), _inner(r, h, h), _inner(r, h, wr), _inner(r, h, wh))
+    least = min(len(r), len(h))
+    head = 0
+    while head < least and r[head] == h[head]:
+        head += 1
+    tail = 0
+    while tail < least - head and r[len(r) - 1 - tail] == h[len(h) - 1 - tail]:
+        tail += 1
+    r, wr = r[head : len(r) - tail], wr[head : len(wr) - tail]
+    h, wh = h[head : len(h) - tail], wh[head : len(wh) - tail]
+    count = list(range(len(h) + 1))
+    weight = [0.0]
+    for w in wh:
+        weight.append(weight[-1] + w)
+    for word, own in zip(r, wr):
+        diagonal, dw = count[0], weight[0]
+        left, lw = diagonal + 1, dw + own
+        count[0], weight[0] = left, lw
+        for j, other in enumerate(h, 1):
+            up, uw = count[j], weight[j]
+            differs = word != other
+            e = min(up + 1, left + 1, diagonal + differs)
+            if up + 1 == e:
+                w = uw + own
+            elif left + 1 == diagonal:
+                w = lw + wh[j - 1]
+            else:
+                w = dw + differs * own
+            diagonal, dw = up, uw
+            count[j], weight[j] = left, lw = e, w
+    return count[-1], weight[-1]
+
+
+@pandas_udf(StructType([StructField("edits", IntegerType()), StructField("weight", DoubleType())]))
+def alignment(ref: pd.Series, hyp: pd.Series, ref_weights: pd.Series, hyp_weights: pd.Series) -> pd.DataFrame:
+    """struct<edits, weight> of ``best_alignment`` over arrays of words and of weights."""
+    out = [best_alignment(*(list(x) for x in row)) for row in zip(ref, hyp, ref_weights, hyp_weights)]
+    return pd.DataFrame(out, columns=["edits", "weight"]).astype({"edits": "int32", "weight": "float64"})
+
+
+@pandas_udf(IntegerType())
+def _long_edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """Word edits of texts with more words than there are signs to stand for them; null passes."""
+    ones = lambda x: [1.0] * len(x)
+    found = [None if r is None else best_alignment(list(r), list(h), ones(r), ones(h))[0] for r, h in zip(ref, hyp)]
+    return pd.Series(found, dtype="Int32")
+
+
+#: A sign for each distinct word of a pair: 20,992 code points in a row.
+SIGNS = "".join(chr(c) for c in range(0x4E00, 0xA000))
 
 
-def _table(r: Column, h: Column, wr: Column, wh: Column) -> Column:
-    cell = lambda e, w: F.struct(e.cast("int").alias("e"), w.cast("double").alias("w"))
-    zero = cell(F.lit(0), F.lit(0.0))
-    start = F.aggregate(wh, F.array(zero), lambda row, w: F.concat(row, F.array(cell(F.element_at(row, -1)["e"] + 1, F.element_at(row, -1)["w"] + w))))
-
-    def next_row(row: Column, x: Column) -> Column:
-        word, weight = x["t"], x["w"]
-        first = F.array(cell(F.get(row, F.lit(0))["e"] + 1, F.get(row, F.lit(0))["w"] + weight))
-
-        def step(cur: Column, j: Column) -> Column:
-            up, left, diagonal = F.get(row, j), F.element_at(cur, -1), F.get(row, j - 1)
-            differs = F.when(word == F.get(h, j - 1), 0).otherwise(1)
-            e = F.least(up["e"] + 1, left["e"] + 1, diagonal["e"] + differs)
-            w = (
-                F.when(up["e"] + 1 == e, up["w"] + weight)
-                .when(left["e"] + 1 == diagonal["e"], left["w"] + F.get(wh, j - 1))
-                .otherwise(diagonal["w"] + differs * weight)
-            )
-            return F.concat(cur, F.array(cell(e, w)))
+def word_edits(ref: Column, hyp: Column) -> Column:
+    """Least number of word edits between two arrays of words.
 
-        return F.when(F.size(h) == 0, first).otherwise(F.aggregate(F.sequence(F.lit(1), F.size(h)), first, step))
+    Each distinct word of the pair stands for one sign, and the built-in edit distance counts.
+    """
 
-    last = F.element_at(F.aggregate(F.zip_with(r, wr, lambda t, w: F.struct(t.alias("t"), w.alias("w"))), start, next_row), -1)
-    return F.struct(last["e"].alias("edits"), last["w"].alias("weight"))
+    def count(r: Column, h: Column) -> Column:
+        def signs(own: Column, all_: Column) -> Column:
+            return F.array_join(F.transform(own, lambda w: F.substring(F.lit(SIGNS), F.array_position(all_, w).cast("int"), F.lit(1))), "")
 
+        return once(lambda x, y, u: F.levenshtein(signs(x, u), signs(y, u)), r, h, F.array_distinct(F.concat(r, h)))
 
-def word_edits(ref: Column, hyp: Column) -> Column:
-    """Least number of word edits between two arrays of words."""
-    ones = lambda a: F.transform(a, lambda _: F.lit(1.0))
-    return F.when(ref == hyp, 0).otherwise(once(lambda r, h: _alignment(r, h, ones(r), ones(h))["edits"], ref, hyp))
+    many = F.size(F.array_distinct(F.concat(ref, hyp))) > len(SIGNS)
+    slow = _long_edits(F.when(many, ref), F.when(many, hyp))
+    return F.when(ref == hyp, 0).when(many, slow).otherwise(once(count, ref, hyp))
 
 
 def _pairs(df: DataFrame, r: Column, h: Column, *by: str) -> DataFrame:
     """Distinct normalised pairs with how often they occur: equal pairs are aligned once."""
-    rows = df.select(*by, r.alias("rn"), h.alias("hn")).dropna(subset=["rn", "hn"])
+    # inlined, so that the filters below don't evaluate the normalisers once more each
+    rows = df.select(*by, F.inline(F.array(F.struct(r.alias("rn"), h.alias("hn"))))).dropna(subset=["rn", "hn"])
     return rows.filter(F.col("rn") != NOTHING).groupBy(*by, "rn", "hn").agg(F.count("*").alias("times"))
 
 
@@ -128,7 +145,7 @@ def weighted_wer(df: DataFrame, weighted: DataFrame, ref: str = "ref", hyp: str
 
     ``weighted``: (token, weight); any other word weighs 1.  Rows whose reference is empty are left out.
     """
-    pairs = scored_pairs(df, ref, hyp, lang)
+    pairs = materialize(scored_pairs(df, ref, hyp, lang), "pairs").df  # read three times below
     texts = pairs.select(F.explode(F.array("rn", "hn")).alias("text"))
     of = word_weights(texts, "text", weighted)
     mapped = (
