@@ -8,15 +8,21 @@ lower bound by built-in edit distance thins the pairs before the weighted distan
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.phonetics import norm_word, pdist, phon_of, similarity
+from ..runtime import materialize
 
 MIN_SIM, LEN_GATE = 0.84, 3
 CHEAPEST = 0.4  # cost of the cheapest edit: bounds the number of edits from the distance
 
 
+def _inlined(spelt: Column) -> Column:
+    """The phoneme string as a generated column ``phon``, so that filters on it don't compute it again."""
+    return F.inline(F.array(F.struct(phon_of(spelt).alias("phon"))))
+
+
 def build_vocabulary(df: DataFrame, word: str, position: str) -> DataFrame:
     """(surface, phon, first, len, position, n_homophones): one entry per canonical spelling.
 
@@ -26,7 +32,7 @@ def build_vocabulary(df: DataFrame, word: str, position: str) -> DataFrame:
     spelt = df.select(norm_word(F.col(word)).alias("surface"), F.col(position).alias("position"))
     entries = (
         spelt.groupBy("surface").agg(F.min("position").alias("position"))
-        .withColumn("phon", phon_of(F.col("surface"))).filter("phon <> ''")
+        .select("surface", "position", _inlined(F.col("surface"))).filter("phon <> ''")
     )
     same = entries.groupBy("phon").agg(F.count("*").alias("n_homophones"))
     return entries.join(same, "phon").select(
@@ -42,7 +48,7 @@ def homophones(vocabulary: DataFrame) -> DataFrame:
 def encode_tokens(df: DataFrame, token: str) -> DataFrame:
     """Distinct (token, spelt, phon); tokens without phonemes match nothing and are left out."""
     rows = df.select(F.col(token).cast("string").alias("token")).dropna().distinct()
-    return rows.withColumn("spelt", norm_word(F.col("token"))).withColumn("phon", phon_of(F.col("spelt"))).filter("phon <> ''")
+    return rows.withColumn("spelt", norm_word(F.col("token"))).select("token", "spelt", _inlined(F.col("spelt"))).filter("phon <> ''")
 
 
 def match_exact(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -96,7 +102,9 @@ def match(df: DataFrame, token: str, vocabulary: DataFrame, min_sim: float = MIN
     Defined cases: null tokens and tokens without phonemes match nothing; equally near entries give
     the one of least position and ``collision``; an empty vocabulary or table gives no rows.
     """
-    tokens = encode_tokens(df, token)
+    # both are read by several branches: encoded once, written, read back
+    tokens = materialize(encode_tokens(df, token), "tokens").df
+    vocabulary = materialize(vocabulary, "vocabulary").df
     return match_exact(tokens, vocabulary).unionByName(match_fuzzy(tokens, vocabulary, min_sim, len_gate))
 
 

@@ -10,7 +10,7 @@ from ..functions.phonetics import phon
 from ..functions.unicode import words
 from ..operators import correction as C
 from ..operators import matching as M
-from ..runtime import table
+from ..runtime import materialize, table
 from . import sqltext as S
 
 QUERIES: dict = {}
@@ -148,6 +148,10 @@ def fuzzy_sql(min_sim: float) -> str:
     )"""
 
 
+def _encoded(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(M.encode_tokens(candidates(spark, d), "token"), "tokens").df
+
+
 def _rounded(f: DataFrame) -> DataFrame:
     return f.withColumn("sim", F.round("sim", 6))
 
@@ -155,12 +159,12 @@ def _rounded(f: DataFrame) -> DataFrame:
 BASE = f"WITH {WEIGHTS}, {TARGETS}, {VOCAB}, {SAID}, {encoded('said')}"
 _add(
     "match_exact",
-    lambda spark, d: M.match_exact(M.encode_tokens(candidates(spark, d), "token"), _vocabulary(spark, d)),
+    lambda spark, d: M.match_exact(_encoded(spark, d), _vocabulary(spark, d)),
     f"{BASE}, {EXACT} SELECT token, surface, sim, collision FROM exact",
 )
 _add(
     "match_fuzzy",
-    lambda spark, d: _rounded(M.match_fuzzy(M.encode_tokens(candidates(spark, d), "token"), _vocabulary(spark, d))),
+    lambda spark, d: _rounded(M.match_fuzzy(_encoded(spark, d), _vocabulary(spark, d))),
     f"{BASE}, {fuzzy_sql(M.MIN_SIM)} SELECT token, surface, round(sim, 6) AS sim, collision FROM fuzzy",
 )
 
