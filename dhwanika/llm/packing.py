@@ -2,8 +2,9 @@
 
 A document of n tokens costs ``linear * n + quadratic * n**2`` (attention).  Documents are spread by a
 hash over shards of about ``SEQUENCES`` containers; in a shard they are taken in descending size, and
-each goes to the sequence of lowest cost that still has room for it.  A shard opens with as many
-sequences as its tokens need at least, and with another one whenever nothing has room.  What the
+each goes to the sequence of lowest cost that still has room for it.  A shard opens with three quarters
+of the sequences that its tokens need at least, and with another one whenever nothing has room; with all
+of them opened at once, middling documents would find every sequence half full.  What the
 last sequences of a shard leave unused is spread over thousands of full ones.
 """
 
@@ -21,6 +22,7 @@ from ..runtime import materialize
 
 SEQUENCES = 2048
 ITEMS = 65_536
+OPENED = 0.75
 #: Relative cost of attention: at this many tokens its quadratic part equals the linear part.
 EVEN_AT = 2048
 
@@ -33,7 +35,7 @@ def assign(sizes: np.ndarray, capacity: int, linear: float = 1.0, quadratic: flo
         return place
     order = np.argsort(-sizes, kind="stable")
     total = int(sizes.sum())
-    k = max(1, -(-total // capacity))
+    k = max(1, int(OPENED * total / capacity))
     room = np.full(max(n, k), capacity, np.int64)
     cost = np.zeros(max(n, k))
     step = linear * sizes + quadratic * sizes.astype(float) ** 2
