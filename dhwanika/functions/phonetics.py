@@ -166,7 +166,8 @@ def pdist(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def similarity(distance: Column, a: Column, b: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.lit(1.0) - distance / F.greatest(F.length(a), F.length(b), F.lit(1)))
+    near = F.greatest(F.lit(0.0), F.lit(1.0) - distance / F.greatest(F.length(a), F.length(b), F.lit(1)))
+    return F.when(distance.isNotNull(), near)
 
 
 def psim(a: Column, b: Column) -> Column:

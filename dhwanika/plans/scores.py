@@ -54,7 +54,7 @@ SQL["corpus_wer_by_lang"] = _wer_sql(S.dispatched("ref", "lang"), S.dispatched("
 
 
 def wer_per_language(spark: SparkSession, d: str) -> DataFrame:
-    """A rate for each normaliser, which the reference's global rate doesn't break down."""
+    """A rate for each normaliser."""
     rows = table(spark, d, "aligned").withColumn("code", language(F.col("lang")))
     return _rounded(scoring.corpus_wer_by_lang(rows, by=("code",)))
 
