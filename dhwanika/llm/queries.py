@@ -13,6 +13,7 @@ from .frequencies import bg_rows, hyp_records, mark_terms, term_counts
 from .languages import detect, fit, mislabelled
 from .looks import same_looking_columns, same_looking_rows, unify
 from .packing import pack
+from .sql import SQL  # noqa: F401
 from .texts import usable
 from .truncation import rates, truncated
 
@@ -112,4 +113,4 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_pack": p8_pack, "p9_found": p9_found, "p9_rates": p9_rates}
-SQL: dict[str, str] = {}
+
