@@ -129,6 +129,12 @@ def scored_pairs(df: DataFrame, ref: str = "ref", hyp: str = "hyp", lang: str =
     return _pairs(df, normalize(F.col(ref), F.col(lang)), F.when(bad | (h == NOTHING), "").otherwise(h))
 
 
+def weight_of(df: DataFrame, token: str, weighted: DataFrame) -> DataFrame:
+    """Add ``weight`` to every row: that of its token, 1 for any other and for null."""
+    held = weighted.select(F.col("token").alias("_token"), F.col("weight"))
+    return df.join(held, F.col(token) == F.col("_token"), "left").drop("_token").withColumn("weight", F.coalesce("weight", F.lit(1)))
+
+
 def word_weights(texts: DataFrame, text: str, weighted: DataFrame) -> DataFrame:
     """(text, weights): for every distinct text that holds weighted words, their weights by word."""
     return (

@@ -15,6 +15,9 @@ from .terms import WEIGHTS
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
+QUERIES["weight_of"] = lambda spark, d: scoring.weight_of(table(spark, d, "bg_counts").select("token").distinct(), "token", C.weights(table(spark, d, "lexicon")))
+SQL["weight_of"] = f"WITH {WEIGHTS} SELECT b.token, coalesce(w.weight, 1) AS weight FROM (SELECT DISTINCT token FROM bg_counts) b LEFT JOIN weights w ON w.token = b.token"
+
 WORDS = lambda x: f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
 
 

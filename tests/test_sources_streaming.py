@@ -45,6 +45,15 @@ def test_sql_functions(spark):
     register(spark)
     got = spark.sql("select nfc('a'), canonical_text(' ｘ  y '), language_code(' TE '), phoneme_sub_cost('K', 'H'), phoneme_indel_cost('n'), squeeze_text('  a  b')").first()
     assert tuple(got) == ("a", "x y", "te", 0.4, 0.5, "a b")
+    from test_text import GOLDEN, PHONEMES
+
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang, _) in enumerate(GOLDEN)], "i int, t string, l string")
+    df.createOrReplaceTempView("golden")
+    assert [r[1] for r in spark.sql("select i, normalize_text(t, l) from golden order by i").collect()] == [w for _, _, w in GOLDEN]
+    spark.createDataFrame([(w,) for w in PHONEMES], "w string").createOrReplaceTempView("spelt")
+    assert {r[0]: r[1] for r in spark.sql("select w, phon(w) from spelt").collect()} == PHONEMES
+    got = spark.sql("select round(psim(phon('दवा'), phon('दवाई')), 9), skeleton('खरपतवार'), number_words_te('25'), norm_word('ज़ा ।')").first()
+    assert tuple(got) == (0.9, "KRPTBR", "ఇరవై ఐదు", "जा")
 
 
 def test_streams(spark, tmp_path):
