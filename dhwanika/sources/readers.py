@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 DATA_DIR_VARIABLE = "DHWANIKA_DATA_DIR"
 DATA_DIR_CONF = "spark.dhwanika.dataDir"
-LEXICON, PAIRS, COUNTS = "lexicon_clean.csv", "pair_labels.csv", "form_bg_counts.json"
+LEXICON, PAIRS, COUNTS = "lexicon.csv", "pair_labels.csv", "bg_counts.json"
 
 
-def data_dir(spark: SparkSession | None = None, home: str | None = None) -> str:
+def data_dir(spark: SparkSession | None = None, home: str | None = None, lexicon: str = LEXICON) -> str:
     """Folder of the dictionary files.
 
     The session's ``spark.dhwanika.dataDir``, else the environment's DHWANIKA_DATA_DIR (neither is
-    checked), else ``data`` beside ``home`` if the lexicon is there, else ``./data`` if it is there, else
+    checked), else ``data`` beside ``home`` if the lexicon (by its file name) is there, else ``./data`` if it is there, else
     the former.
     """
     named = (spark.conf.get(DATA_DIR_CONF, None) if spark else None) or os.environ.get(DATA_DIR_VARIABLE)
@@ -25,7 +25,7 @@ def data_dir(spark: SparkSession | None = None, home: str | None = None) -> str:
         return named
     beside = Path(home or Path(__file__).resolve().parents[2]) / "data"
     here = Path.cwd() / "data"
-    return str(here if not (beside / LEXICON).exists() and (here / LEXICON).exists() else beside)
+    return str(here if not (beside / lexicon).exists() and (here / lexicon).exists() else beside)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
