@@ -99,19 +99,23 @@ def _cells(edges: DataFrame, count: int, cell_edges: int) -> DataFrame:
     return placed
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", cell_edges: int = CELL_EDGES) -> DataFrame:
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", cell_edges: int = CELL_EDGES, vertices: DataFrame | None = None) -> DataFrame:
     """Root of every vertex that occurs in ``edges`` (bigint columns ``u`` and ``v``).
 
+    A caller that has the vertices apart, distinct, passes them (with the column ``id``) together with
+    edges that hold no pair twice in either direction; then neither is made distinct again.
+
     Returns (id, root): vertices have equal roots exactly if a chain of edges joins them; the root is
     one of the group's vertices.  Defined cases: edges with a null end are left out; a loop makes its
     vertex a group of its own; repeated and reversed edges count once; no edges give no rows; other
     columns are ignored.
     """
     pairs = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).dropna()
-    vertices = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    live: Materialized | None = materialize(
-        pairs.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges"
-    )
+    ordered = pairs.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    if vertices is None:
+        vertices = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        ordered = ordered.distinct()
+    live = materialize(ordered, "edges")
     levels: list[Materialized] = []
     seed = 0
     while True:
@@ -158,8 +162,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", cell_edge
             here = here.join(above, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
         label = here if label is None else here.unionByName(label.join(here.select("id"), "id", "left_anti"))
     if label is None:
-        return vertices.select("id", F.col("id").alias("root"))
-    return vertices.join(label.withColumnRenamed("root", "r"), "id", "left").select("id", F.coalesce("r", "id").alias("root"))
+        return vertices.withColumn("root", F.col("id"))
+    return vertices.join(label.withColumnRenamed("root", "_r"), "id", "left").withColumn("root", F.coalesce("_r", "id")).drop("_r")
 
 
 #: Judgements that make two terms the same form; fixed values of the data model.
@@ -201,7 +205,6 @@ def group_terms(
         df.filter(reads.isin(*same))
         .select(F.col(candidate).cast("string").alias("a"), F.col(anchor).cast("string").alias("b"))
         .dropna()
-        .distinct()
         .mapInArrow(lambda it: map_strings(it, ["a", "b"], squeeze), "a string, b string")
         .filter("a <> '' and b <> ''")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -211,10 +214,10 @@ def group_terms(
     terms = materialize(held.df.select(F.explode(F.array("a", "b")).alias("term")).distinct(), "terms")
     seed = _vertex_ids(terms.df)
     vertex = lambda c: F.xxhash64(F.lit(seed), F.col(c))
-    roots = connected_components(held.df.select(vertex("a").alias("u"), vertex("b").alias("v")), cell_edges=cell_edges)
-    placed = materialize(
-        terms.df.withColumn("id", vertex("term")).join(roots, "id").select("term", "root"), "placed"
+    roots = connected_components(
+        held.df.select(vertex("a").alias("u"), vertex("b").alias("v")), cell_edges=cell_edges, vertices=terms.df.withColumn("id", vertex("term"))
     )
+    placed = materialize(roots.select("term", "root"), "placed")
     least = placed.df.groupBy("root").agg(F.min("term").alias("group_term"), F.count("*").alias("n"))
     hot = hot_keys(least, "root", "n", placed.df.count())
     return join_salted(placed.df, least.drop("n"), "root", "term", hot).select("term", "group_term")
