@@ -132,11 +132,10 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", cell_edge
             .applyInArrow(_stars(seed), "v long, root long, priority long")
         )
         # a vertex has at most one representative per cell of its row and column
-        w = Window.partitionBy("v")
-        gathered = materialize(
-            stars.withColumn("parent", F.min(F.struct("priority", "root")).over(w)["root"]).select("v", "root", "parent"), "stars"
-        )
-        parents = materialize(gathered.df.select("v", "parent").distinct(), "parents")
+        w = Window.partitionBy("v").orderBy("priority", "root")
+        best = stars.withColumn("parent", F.first("root").over(w)).withColumn("nth", F.row_number().over(w))
+        gathered = materialize(best.select("v", "root", "parent", "nth"), "stars")
+        parents = materialize(gathered.df.filter("nth = 1").select("v", "parent"), "parents")
         # the edge (v, root) becomes (parent of v, parent of root); most pairs are equal and fall away here
         rest = gathered.df.select("parent", "root").distinct()
         up = parents.df.select(F.col("v").alias("root"), F.col("parent").alias("above"))
