@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import once_per_key, strip, table
+from ..runtime import materialize, once_per_key, strip, table
 from .canon import canonicalise
 from .components import group_terms
 from .encoding import encode, token_counts
@@ -62,7 +62,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    hyp = hyp_records(spark, sf_dir)
+    hyp = materialize(hyp_records(spark, sf_dir), "hyp").df  # read for the terms and for their number
     # a batch number may be missing; such rows form a record of their own
     bg = bg_rows(spark, sf_dir).withColumn("batch_no", F.coalesce("batch_no", F.lit(-(2**63))))
     return term_counts(hyp, "hyp"), term_counts(bg, "token", record="batch_no", n="n"), hyp
