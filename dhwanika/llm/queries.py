@@ -92,7 +92,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unify(table(spark, sf_dir, "aligned").select("utt_id", "ref", "hyp"), ["ref", "hyp"])
+    """Every ref, hyp and word in its one form: (tab, rec_id, field, form), rows as delivered."""
+    rows = table(spark, sf_dir, "aligned")
+    parts = [rows.select(F.lit("aligned").alias("tab"), F.col("utt_id").alias("rec_id"), F.lit(c).alias("field"), F.col(c).alias("form")) for c in ("ref", "hyp")]
+    words = table(spark, sf_dir, "lexicon")
+    parts.append(words.select(F.lit("lexicon").alias("tab"), F.col("lex_id").alias("rec_id"), F.lit("word").alias("field"), F.col("word").alias("form")))
+    return unify(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["form"])
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
