@@ -136,7 +136,7 @@ def _merge(t: pa.Table) -> pa.RecordBatch:
     return _containers(clip, words.dictionary, code, shard, s[o], e[o], multi[o])
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit(batches: Iterator[pa.RecordBatch], singles: bool) -> Iterator[pa.RecordBatch]:
     """Periods that end and gaps that close in each shard, given the state carried into it."""
     for b in batches:
         if not b.num_rows:
@@ -171,10 +171,11 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z_end = np.where(heads[z] > 0, e[end_run[z]], reach[z])
         z_multi = np.where(heads[z] > 0, multi[end_run[z]], True)
         i_gap = np.flatnonzero(has)
-        i_per = np.flatnonzero(has & b_multi)
-        z_keep = np.flatnonzero(z_multi)
+        i_per = np.flatnonzero(has & (b_multi | singles))
+        z_keep = np.flatnonzero(z_multi | singles)
         rows = np.r_[hr[i_gap], hr[i_per], z[z_keep]]
-        kinds = ["gap"] * len(i_gap) + ["merged"] * (len(i_per) + len(z_keep))
+        of_many = np.r_[b_multi[i_per], z_multi[z_keep]]
+        kinds = ["gap"] * len(i_gap) + np.where(of_many, "merged", "single").tolist()
         yield pa.RecordBatch.from_arrays(
             [
                 col("entity").take(pa.array(rows)),
@@ -197,12 +198,14 @@ def periods_and_gaps(
     start: str = "start",
     end: str = "end",
     shard_bits: int = SHARD_BITS,
+    singles: bool = False,
 ) -> DataFrame:
     """Merged periods and gaps of every (entity, speaker).
 
     Returns (entity, speaker, kind, start_ms, end_ms), entity and speaker under their own names:
     ``merged`` is a period of two or more different intervals that overlap or touch, ``gap`` the
-    stretch between two neighbouring periods of one speaker.
+    stretch between two neighbouring periods of one speaker, and ``single``, only with ``singles``, a
+    period of one interval.
 
     Defined cases: rows with a null key, start, end or speaker, with a time that isn't finite or
     doesn't fit a bigint, or whose end isn't after its start once rounded, are left out; repeated
@@ -250,6 +253,6 @@ def periods_and_gaps(
         )
     )
     out = runs.join(summary, ["entity", "speaker", "shard"]).mapInArrow(
-        _emit, "entity bigint, speaker string, kind string, start_ms bigint, end_ms bigint"
+        lambda it: _emit(it, singles), "entity bigint, speaker string, kind string, start_ms bigint, end_ms bigint"
     )
     return out.select(F.col("entity").alias(entity), F.col("speaker").alias(speaker), "kind", "start_ms", "end_ms")

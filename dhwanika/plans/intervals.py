@@ -12,6 +12,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods_and_gaps(table(spark, sf_dir, "segments"))
 
 
+def p5_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every unbroken period, those of one interval too, and every gap."""
+    return periods_and_gaps(table(spark, sf_dir, "segments"), singles=True)
+
+
 P5_SQL = """
 WITH t AS (
   SELECT DISTINCT clip_id, speaker, CAST(round("start" * 1000) AS BIGINT) AS s, CAST(round("end" * 1000) AS BIGINT) AS e
@@ -32,5 +37,5 @@ UNION ALL
 SELECT clip_id, speaker, 'gap' AS kind, before AS start_ms, s AS end_ms FROM q WHERE before IS NOT NULL
 """
 
-QUERIES = {"p5_found": p5_found}
-SQL = {"p5_found": P5_SQL}
+QUERIES = {"p5_found": p5_found, "p5_periods": p5_periods}
+SQL = {"p5_found": P5_SQL, "p5_periods": P5_SQL.replace("'merged' AS kind", "CASE WHEN n > 1 THEN 'merged' ELSE 'single' END AS kind").replace(" FROM q WHERE n > 1", " FROM q")}
