@@ -83,17 +83,17 @@ def _variants(spark: SparkSession, d: str) -> DataFrame:
 _add("variant_map_first_wins", _variants, f"WITH {WEIGHTS}, {VARIANTS} SELECT candidate, anchor FROM variants")
 
 TOKEN_SIGNS = "[^\\p{L}\\p{N}_\\x{900}-\\x{97F}\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]"
-HYP = f"SELECT utt_id, received_at, {S.squeeze(S.nfkc("coalesce(hyp, '')"))} AS canon FROM aligned"
+HYP = f"SELECT utt_id, {S.squeeze(S.nfkc("coalesce(hyp, '')"))} AS canon FROM aligned"
 TOKENS = f"list_filter(string_split({S.squeeze(f"regexp_replace(canon, '{TOKEN_SIGNS}', ' ', 'g')")}, ' '), lambda w: w <> '')"
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of every hypothesis, joined by a bar."""
     canon = C.canonical_text(F.col("hyp"))
-    return table(spark, d, "aligned").select("utt_id", "received_at", F.array_join(C.tokens(canon), "|").alias("tokens"))
+    return table(spark, d, "aligned").select("utt_id", F.array_join(C.tokens(canon), "|").alias("tokens"))
 
 
-_add("tokens", tokens, f"SELECT utt_id, received_at, array_to_string({TOKENS}, '|') AS tokens FROM ({HYP})")
+_add("tokens", tokens, f"SELECT utt_id, array_to_string({TOKENS}, '|') AS tokens FROM ({HYP})")
 SAID = f"""said AS (
   SELECT DISTINCT token FROM (SELECT unnest({TOKENS}) AS token FROM (SELECT DISTINCT canon FROM ({HYP}))) WHERE regexp_matches(token, '[\\x{{900}}-\\x{{97F}}]')
 )"""
@@ -213,22 +213,22 @@ _add("attested_gate", lambda spark, d: _rounded(edit_table(spark, d)), f"{EDITS}
 
 def correct(spark: SparkSession, d: str) -> DataFrame:
     """Every hypothesis with its corrections; the edits as text."""
-    rows = table(spark, d, "aligned").select("utt_id", "received_at", "hyp")
+    rows = table(spark, d, "aligned").select("utt_id", "hyp")
     out = C.correct(rows, "hyp", _weights(spark, d), _counts(spark, d))
-    return out.select("utt_id", "received_at", "corrected", "changed", F.array_join(F.transform("edits", lambda e: F.concat(e["from"], F.lit(">"), e["to"])), "|").alias("edits"), "n_recovered")
+    return out.select("utt_id", "corrected", "changed", F.array_join(F.transform("edits", lambda e: F.concat(e["from"], F.lit(">"), e["to"])), "|").alias("edits"), "n_recovered")
 
 
 _add(
     "correct",
     correct,
-    f"""{EDITS}, heard AS (SELECT utt_id, received_at, hyp, {S.squeeze(S.nfkc("coalesce(hyp, '')"))} AS canon FROM aligned),
+    f"""{EDITS}, heard AS (SELECT utt_id, hyp, {S.squeeze(S.nfkc("coalesce(hyp, '')"))} AS canon FROM aligned),
     split_up AS (SELECT canon, string_split(canon, ' ') AS ws FROM (SELECT DISTINCT canon FROM heard WHERE canon NOT IN ('', 'NA'))),
     placed AS (SELECT canon, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM split_up),
     changed AS (
       SELECT canon, string_agg(coalesce(e.surface, w), ' ' ORDER BY i) AS new, string_agg(w || '>' || e.surface, '|' ORDER BY i) AS edits, count(e.token) AS n
       FROM placed LEFT JOIN edits e ON e.token = w GROUP BY canon HAVING count(e.token) > 0
     )
-    SELECT utt_id, received_at, CASE WHEN h.canon IN ('', 'NA') THEN hyp ELSE coalesce(c.new, h.canon) END AS corrected,
+    SELECT utt_id, CASE WHEN h.canon IN ('', 'NA') THEN hyp ELSE coalesce(c.new, h.canon) END AS corrected,
       c.canon IS NOT NULL AS changed, coalesce(c.edits, '') AS edits, CAST(coalesce(c.n, 0) AS INTEGER) AS n_recovered
     FROM heard h LEFT JOIN changed c ON c.canon = h.canon""",
 )
@@ -239,7 +239,7 @@ def domain_terms(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "aligned").select("utt_id", "received_at", "ref", "lang").dropna(subset=["utt_id", "received_at"])
     normed = rows.withColumn("normed", normalize(F.col("ref"), F.col("lang"))).withColumn("key", F.struct("utt_id", "received_at"))
     found = C.domain_terms(normed, "key", "normed", _weights(spark, d), _variants(spark, d))
-    return found.select("key.utt_id", "key.received_at", "nth", "term")
+    return found.select("key.utt_id", "nth", "term")
 
 
 _add(
@@ -247,7 +247,7 @@ _add(
     domain_terms,
     f"""WITH {WEIGHTS}, {TARGETS}, {VARIANTS}, normed AS (SELECT utt_id, received_at, {S.dispatched('ref', 'lang')} AS t FROM aligned WHERE utt_id IS NOT NULL AND received_at IS NOT NULL),
     placed AS (SELECT utt_id, received_at, unnest(range(0, len(ws))) AS nth, unnest(ws) AS token FROM (SELECT *, string_split(t, ' ') AS ws FROM normed WHERE t IS NOT NULL))
-    SELECT utt_id, received_at, CAST(nth AS INTEGER) AS nth, coalesce(v.anchor, p.token) AS term
+    SELECT utt_id, CAST(nth AS INTEGER) AS nth, coalesce(v.anchor, p.token) AS term
     FROM placed p LEFT JOIN variants v ON v.candidate = p.token LEFT JOIN targets g ON g.token = p.token WHERE g.token IS NOT NULL OR v.anchor IS NOT NULL""",
 )
 

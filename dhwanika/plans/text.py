@@ -57,10 +57,10 @@ _add("digit_fold", _over_texts(N.fold_digits), f"SELECT text, {S.digits('text')}
 
 def normalize_dispatch(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "aligned")
-    return rows.select("utt_id", "received_at", N.normalize(F.col("ref"), F.col("lang")).alias("ref_n"), N.normalize(F.col("hyp"), F.col("lang")).alias("hyp_n"))
+    return rows.select("utt_id", N.normalize(F.col("ref"), F.col("lang")).alias("ref_n"), N.normalize(F.col("hyp"), F.col("lang")).alias("hyp_n"))
 
 
-_add("normalize_dispatch", normalize_dispatch, f"SELECT utt_id, received_at, {S.dispatched('ref', 'lang')} AS ref_n, {S.dispatched('hyp', 'lang')} AS hyp_n FROM aligned")
+_add("normalize_dispatch", normalize_dispatch, f"SELECT utt_id, {S.dispatched('ref', 'lang')} AS ref_n, {S.dispatched('hyp', 'lang')} AS hyp_n FROM aligned")
 
 WORDS = """SELECT word FROM lexicon UNION SELECT word_norm FROM lexicon UNION SELECT candidate FROM pair_labels
   UNION SELECT anchor FROM pair_labels UNION SELECT token FROM bg_counts"""
