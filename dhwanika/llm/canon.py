@@ -1,12 +1,13 @@
 """Mapping freely entered values to a canonical list.
 
 Values are made distinct, normalised to phonetic keys that Devanagari and Latin spellings share, and
-looked up in an inverted index of character n-grams over the list; candidates are scored by weighted
-cosine, and the best is taken if it passes a threshold and leads by a margin, else the value is
-reported as matching nothing.
+looked up in an inverted index of character n-grams over the list; every entry whose weighted cosine
+passes a threshold is a candidate, and the one of fewest edits is taken if it leads all others by a
+margin, else the value is reported as matching nothing.  No candidate is left out by its rank: only
+those that a lower bound of the edits shows to be too far are not compared sign by sign.
 
 The list is indexed in blocks of at most ``BLOCK`` entries, each broadcast by itself, so what is
-broadcast stays bounded however long the list is; the best two of every block are merged.
+broadcast stays bounded however long the list is; the best of every block and its rivals are merged.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ import math
 import re
 import unicodedata
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,8 +83,8 @@ class Index:
         self.post = {x: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for x, p in post.items()}
         self.size = n
 
-    def near(self, k: str, n: int) -> list[tuple[int, float]]:
-        """The ``n`` entries of highest cosine with a key, best first."""
+    def scores(self, k: str) -> np.ndarray:
+        """Cosine of every entry with a key."""
         norm, at, w = 0.0, [], []
         for x, v in grams(k).items():
             q = v * self.weight.get(x, self.unseen)
@@ -92,11 +94,37 @@ class Index:
                 at.append(i)
                 w.append(p * q)
         if not at:
-            return []
-        score = np.bincount(np.concatenate(at), np.concatenate(w), self.size) / math.sqrt(norm)
-        top = np.argpartition(-score, n)[:n] if n < self.size else np.arange(self.size)
-        top = top[np.lexsort((top, -score[top]))]
-        return [(int(i), float(score[i])) for i in top]
+            return np.zeros(self.size)
+        return np.bincount(np.concatenate(at), np.concatenate(w), self.size) / math.sqrt(norm)
+
+    def near(self, k: str, n: int) -> list[tuple[int, float]]:
+        """The ``n`` entries of highest cosine with a key, best first."""
+        score = self.scores(k)
+        top = np.lexsort((np.arange(self.size), -score))[:n]
+        return [(int(i), float(score[i])) for i in top if score[i] > 0]
+
+
+class Bags:
+    """Counts of signs of many strings: a lower bound of the edits between one of them and another string."""
+
+    def __init__(self, strings: list[str]):
+        self.signs = {c: i for i, c in enumerate(sorted(set("".join(strings))))}
+        self.size = np.array([len(s) for s in strings], np.int64)
+        self.counts = np.zeros((len(strings), len(self.signs)), np.int16)
+        for i, s in enumerate(strings):
+            for c, n in Counter(s).items():
+                self.counts[i, self.signs[c]] = n
+
+    def least(self, text: str, at: np.ndarray) -> np.ndarray:
+        """Signs that have to be put in or taken out, whichever are more; a swap changes no count."""
+        own, strange = np.zeros(len(self.signs), np.int64), 0
+        for c, n in Counter(text).items():
+            if c in self.signs:
+                own[self.signs[c]] = n
+            else:
+                strange += n
+        common = np.minimum(self.counts[at], own).sum(1)
+        return np.maximum(self.size[at], own.sum() + strange) - common
 
 
 def edits(a: str, b: str) -> int:
@@ -114,9 +142,10 @@ def edits(a: str, b: str) -> int:
     return row[-1]
 
 
+SPANS = 50_000  # stretches of words whose hits a worker keeps
 #: Least cosine of a candidate, most edits per sign of the entry, least lead over another value.
 THRESHOLD, MOST_EDITS, MARGIN = 0.3, 0.37, 0.01
-CANDIDATES = 8
+CANDIDATES = 8  # of highest cosine among which the tests look for the nearest entry; matching has no such bound
 UNCOVERED = 0.3  # weight of the part of a value that a match leaves aside
 ABBREVIATION = 0.2  # edits per sign that an abbreviation counts as
 
@@ -151,9 +180,13 @@ class Matcher:
             if k := key(f):
                 known[k, c].append(bare(f))
         self.keys = [k for k, _ in known]
-        self.bares = list(known.values())
         self.width = max((k.count(" ") + 1 for k in self.keys), default=0)
         self.index = Index(self.keys, [c for _, c in known])
+        self.joined = [k.replace(" ", "") for k in self.keys]
+        owned = [(i, b) for i, bs in enumerate(known.values()) for b in dict.fromkeys(bs) if b]
+        self.bares, self.owner = [b for _, b in owned], np.array([i for i, _ in owned], np.int64)
+        self.key_bags, self.bare_bags = Bags(self.joined), Bags(self.bares)
+        self.hits = lru_cache(SPANS)(self._hits)  # the words of a list recur in many values
 
     def spans(self, words: list[str]) -> Iterator[tuple[str, float]]:
         """Stretches of the value's words up to a word longer than any entry, with what they leave aside."""
@@ -163,36 +196,47 @@ class Matcher:
                 own = words[i : i + n]
                 yield " ".join(own), 1 - sum(map(len, own)) / total
 
+    def _hits(self, span: str) -> list[tuple[str, float, float]]:
+        """Every (canonical value, edits per sign, cosine) that passes, for a stretch of words."""
+        k = key(span)
+        if not k:
+            return []
+        joined, own = k.replace(" ", ""), bare(span)
+        score = self.index.scores(k)
+        passed = score >= THRESHOLD
+        at = np.flatnonzero(passed)
+        ratio: dict[int, float] = {}
+        for i in at[self.key_bags.least(joined, at) <= MOST_EDITS * self.key_bags.size[at] + 1e-9].tolist():
+            ratio[i] = edits(joined, self.joined[i]) / len(self.joined[i])
+        at = np.flatnonzero(passed[self.owner])
+        for j in at[self.bare_bags.least(own, at) <= MOST_EDITS * self.bare_bags.size[at] + 1e-9].tolist():
+            i = int(self.owner[j])
+            ratio[i] = min(ratio.get(i, math.inf), edits(own, self.bares[j]) / len(self.bares[j]))
+        if span.endswith(".") and len(joined) >= 4:
+            for i in np.flatnonzero(passed).tolist():
+                if self.joined[i].startswith(joined):
+                    ratio[i] = min(ratio.get(i, math.inf), ABBREVIATION)
+        return [(self.index.canon[i], r, float(score[i])) for i, r in ratio.items() if r <= MOST_EDITS]
+
     def rank(self, value: str) -> list[tuple[float, str, float]]:
-        """Best two (cost, canonical value, cosine) that pass; cost is edits per sign and what is left aside."""
+        """(cost, canonical value, cosine) of the best that passes, then of all less than MARGIN behind; cost is edits per sign and what is left aside."""
         if (n := number(value)) is not None:
             return [(0.0, self.numbers[n], 1.0)] if n in self.numbers else []
         words = look(value).split()
         best: dict[str, tuple[float, float]] = {}
         if (c := self.exact.get(bare(value))) is not None and bare(value):
             return [(0.0, c, 1.0)]
+        least = math.inf
         for span, aside in self.spans(words):
-            k = key(span)
-            if not k:
-                continue
-            joined, own = k.replace(" ", ""), bare(span)
-            for i, cosine in self.index.near(k, CANDIDATES):
-                if cosine < THRESHOLD:
-                    break
-                c = self.index.canon[i]
-                entry = self.keys[i].replace(" ", "")
-                ratio = edits(joined, entry) / len(entry)
-                for b in self.bares[i]:
-                    if b and abs(len(b) - len(own)) <= MOST_EDITS * len(b):
-                        ratio = min(ratio, edits(own, b) / len(b))
-                if span.endswith(".") and len(joined) >= 4 and entry.startswith(joined):
-                    ratio = min(ratio, ABBREVIATION)
-                if ratio <= MOST_EDITS:
-                    cost = ratio + UNCOVERED * aside
-                    if c not in best or (cost, -cosine) < best[c]:
-                        best[c] = (cost, -cosine)
+            if UNCOVERED * aside > least + MARGIN + 1e-9:
+                continue  # what it leaves aside puts any hit behind the margin
+            for c, ratio, cosine in self.hits(span):
+                cost = ratio + UNCOVERED * aside
+                if c not in best or (cost, -cosine) < best[c]:
+                    best[c] = (cost, -cosine)
+                    least = min(least, cost)
         order = sorted((v, c) for c, v in best.items())
-        return [(v[0], c, -v[1]) for v, c in order[:2]]
+        return [(v[0], c, -v[1]) for v, c in order if v[0] - least < MARGIN]
 
 
 RANKED = "value string, ranked array<struct<cost:double,canon:string,cosine:double>>"
@@ -226,9 +270,9 @@ def canonicalise(df: DataFrame, key_col: str, value: str, entries: DataFrame, fo
     ranked = parts[0]
     for p in parts[1:]:
         ranked = ranked.unionByName(p)
-    merged = ranked.groupBy("value").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ranked"))), 1, 2).alias("r")) if blocks > 1 else ranked.withColumnRenamed("ranked", "r")
-    first, second = F.try_element_at("r", F.lit(1)), F.try_element_at("r", F.lit(2))
-    clear = second.isNull() | (second["cost"] - first["cost"] >= MARGIN) | (first["cosine"] - second["cosine"] >= MARGIN)
+    merged = ranked.groupBy("value").agg(F.array_sort(F.flatten(F.collect_list("ranked"))).alias("r")) if blocks > 1 else ranked.withColumnRenamed("ranked", "r")
+    first = F.try_element_at("r", F.lit(1))
+    clear = F.forall(F.expr("slice(r, 2, greatest(size(r) - 1, 0))"), lambda x: (x["cost"] - first["cost"] >= MARGIN) | (first["cosine"] - x["cosine"] >= MARGIN))
     found = merged.select(
         "value", F.when(clear, first["canon"]).alias("canon"), first["cost"].alias("cost"), first["cosine"].alias("cosine")
     )

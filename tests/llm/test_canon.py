@@ -66,3 +66,29 @@ def test_nearest_entry_is_retrieved(spark, data):
         i = rng.randrange(len(w))
         found += any(m.index.canon[j] == w for j, _ in m.index.near(canon.key(w[:i] + w[i + 1 :]), canon.CANDIDATES))
     assert found >= 180
+
+
+LONG = ["kirotanulepa" + a + b + c for a in ("dido", "dudi") for b in ("dido", "dudi") for c in ("", "du")] + [x + "kirotanulepa" for x in ("didodudi", "dudididi", "didodido", "dudidodu")]
+
+
+@pytest.mark.parametrize(("near", "want"), [(["kirotamulepa"], "kirotamulepa"), (["kirotamulepa", "kirotasulepa"], None)])
+def test_no_candidate_is_lost_by_its_rank(spark, near, want):
+    """Twelve entries of higher cosine but too many edits stand before the meant one, or before two equally near."""
+    listed = spark.createDataFrame([(x, x) for x in LONG + near], "form string, canon string")
+    df = spark.createDataFrame([(1, "kirotanulepa")], "id long, v string")
+    assert [r["canon"] for r in canon.canonicalise(df, "id", "v", listed, "form", "canon").collect()] == [want]
+    m = canon.Matcher(LONG + near, LONG + near)
+    assert not {m.index.canon[i] for i, _ in m.index.near(canon.key("kirotanulepa"), canon.CANDIDATES)} & set(near)
+
+
+def test_bound_of_the_edits():
+    """Never above the edits, so that it leaves out no entry that would pass."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(200)]
+    bags = canon.Bags(words)
+    for text in ["".join(rng.choice("abcd") for _ in range(rng.randrange(9))) for _ in range(50)]:
+        assert all(n <= canon.edits(text, w) for n, w in zip(bags.least(text, np.arange(len(words))), words))
