@@ -253,8 +253,8 @@ _add(
 
 
 def windows_1_3(spark: SparkSession, d: str) -> DataFrame:
-    """Window proposals over the distinct answers to term questions."""
-    said = table(spark, d, "aligned").filter("task = 'term'").select(C.canonical_text(F.col("hyp")).alias("said")).distinct()
+    """Window proposals over the distinct hypotheses."""
+    said = table(spark, d, "aligned").select(C.canonical_text(F.col("hyp")).alias("said")).distinct()
     rows = said.select("said", words(F.col("said")).alias("tokens"))
     return _rounded(M.correct_windows(rows, "said", "tokens", _vocabulary(spark, d))).withColumnRenamed("i", "at")
 

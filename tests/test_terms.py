@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from dhwanika.functions.phonetics import norm_word
 from dhwanika.operators import correction as C
 from dhwanika.operators import matching as M
 
@@ -146,3 +147,25 @@ def test_empty(spark):
     assert M.match(none, "t", v).count() == 0
     assert M.match(spark.createDataFrame([("क",)], "t string"), "t", v.filter("false")).count() == 0
     assert C.tokens(F.lit("x")) is not None
+
+
+def test_windows_over_every_hypothesis(spark, data):
+    """The query against a greedy scan of all hypotheses, sentences as well as single terms."""
+    from dhwanika.plans import terms as Q
+
+    said = [r[0] for r in spark.read.parquet(f"{data}/aligned.parquet").select(C.canonical_text(F.col("hyp"))).distinct().collect()]
+    windows = {s: [(n, i, s.split()[i : i + n]) for n in (3, 2, 1) for i in range(len(s.split()) - n + 1)] for s in said}
+    joined = spark.createDataFrame([(x,) for x in sorted({"".join(w) for ws in windows.values() for _, _, w in ws})], "t string")
+    found = {r["token"]: r for r in M.match(joined, "t", Q._vocabulary(spark, data)).collect()}
+    spelt = {r["t"]: r["s"] for r in joined.select("t", norm_word(F.col("t")).alias("s")).collect()}
+    want = []
+    for s, ws in windows.items():
+        used: set = set()
+        for n, i, w in ws:
+            hit = found.get("".join(w))
+            if hit and hit["surface"] != spelt["".join(w)] and not used & set(range(i, i + n)):
+                want.append((s, i, n, " ".join(w), hit["surface"], round(hit["sim"], 6), hit["collision"]))
+                used |= set(range(i, i + n))
+    got = [tuple(r) for r in Q.windows_1_3(spark, data).select("said", "at", "span", "text", "surface", "sim", "collision").collect()]
+    assert sorted(got) == sorted(want)
+    assert any(len(s.split()) > 3 for s, *_ in got)
