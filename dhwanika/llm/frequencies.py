@@ -6,6 +6,9 @@
 2. Terms are hashed into buckets and sorted within them; the place of a term in its bucket plus the
    size of the buckets before is its global integer id.  The ids depend on the terms alone.
 3. In the same sorted pass the blocks' counts are added into dense arrays per range of identifiers.
+
+Where a record column is given, step 1 is an aggregate by (record, term) instead: presence counts once
+a record, and a record's rows lie in many blocks.
 """
 
 from __future__ import annotations
