@@ -236,10 +236,8 @@ _add(
 
 def domain_terms(spark: SparkSession, d: str) -> DataFrame:
     """Domain terms of the normalised references, in order."""
-    rows = table(spark, d, "aligned").select("utt_id", "received_at", "ref", "lang").dropna(subset=["utt_id", "received_at"])
-    normed = rows.withColumn("normed", normalize(F.col("ref"), F.col("lang"))).withColumn("key", F.struct("utt_id", "received_at"))
-    found = C.domain_terms(normed, "key", "normed", _weights(spark, d), _variants(spark, d))
-    return found.select("key.utt_id", "nth", "term")
+    normed = table(spark, d, "aligned").select("utt_id", normalize(F.col("ref"), F.col("lang")).alias("normed"))
+    return C.domain_terms(normed, "utt_id", "normed", _weights(spark, d), _variants(spark, d))
 
 
 _add(

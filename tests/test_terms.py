@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +171,18 @@ def test_windows_over_every_hypothesis(spark, data):
     got = [tuple(r) for r in Q.windows_1_3(spark, data).select("said", "at", "span", "text", "surface", "sim", "collision").collect()]
     assert sorted(got) == sorted(want)
     assert any(len(s.split()) > 3 for s, *_ in got)
+
+
+def test_domain_terms_of_rows_without_a_key(spark, data, tmp_path):
+    """A row counts whether or not its utterance or its time of delivery is known."""
+    from dhwanika.plans import terms as Q
+
+    for name in ("lexicon", "pair_labels"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{data}/{name}.parquet")
+    one = Q.domain_terms(spark, data).agg(F.min("utt_id")).first()[0]
+    row = spark.read.parquet(f"{data}/aligned.parquet").filter(F.col("utt_id") == one).limit(1)
+    no = {c: F.lit(None).cast(t) for c, t in row.dtypes}
+    whole = row.unionByName(row.withColumn("received_at", no["received_at"])).unionByName(row.withColumn("utt_id", no["utt_id"]))
+    whole.write.parquet(f"{tmp_path}/aligned.parquet")
+    got = Counter(r["utt_id"] for r in Q.domain_terms(spark, str(tmp_path)).collect())
+    assert got[None] > 0 and got == {one: 2 * got[None], None: got[None]}
