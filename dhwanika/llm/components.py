@@ -151,18 +151,29 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", cell_edge
         live.drop()
         live = nxt
         levels.append(parents)
-    # a vertex takes the label that the later rounds give its parent; parents that no later round
-    # saw had no edge left and stand for their group
-    label: DataFrame | None = None
-    for level in reversed(levels):
+    # From the last round back: a vertex takes the label that the later rounds give its parent; parents
+    # that no later round saw had no edge left and stand for their group.  Every round's labels are
+    # written, so a plan reads two tables whatever the number of rounds; both shrink geometrically.
+    label: Materialized | None = None
+    while levels:
+        level = levels.pop()
         here = level.df.select(F.col("v").alias("id"), F.col("parent").alias("root"))
         if label is not None:
-            above = label.select(F.col("id").alias("root"), F.col("root").alias("top"))
-            here = here.join(above, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
-        label = here if label is None else here.unionByName(label.join(here.select("id"), "id", "left_anti"))
+            above = label.df.select(F.col("id").alias("root"), F.col("root").alias("top"))
+            lower = here.join(above, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+            here = lower.unionByName(label.df.join(here.select("id"), "id", "left_anti"))
+        if label is None and not levels:
+            label = level  # a single round's parents are the labels
+            break
+        made = materialize(here, "labels")
+        level.drop()
+        if label is not None:
+            label.drop()
+        label = made
     if label is None:
         return vertices.withColumn("root", F.col("id"))
-    return vertices.join(label.withColumnRenamed("root", "_r"), "id", "left").withColumn("root", F.coalesce("_r", "id")).drop("_r")
+    found = label.df.toDF("id", "_r")
+    return vertices.join(found, "id", "left").withColumn("root", F.coalesce("_r", "id")).drop("_r")
 
 
 #: Judgements that make two terms the same form; fixed values of the data model.

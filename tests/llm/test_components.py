@@ -51,6 +51,24 @@ def test_chains_stars_and_cycles_over_many_cells(spark, cell):
     assert len(set(got.values())) == len(set(want.values()))
 
 
+def test_plan_does_not_grow_with_the_rounds(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(400)], "u long, v long")
+    out = connected_components(df, cell_edges=8)  # 50 cells, several rounds
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") + plan.count("LogicalRDD") + plan.count("LocalRelation") < 6
+    got = out.collect()
+    assert len(got) == 401 and len({r["root"] for r in got}) == 1
+
+
+def test_judged_pairs_on_a_grid_of_many_cells(spark, data):
+    """The test tables' pairs over at least eight blocks a side, against union-find."""
+    df = spark.read.parquet(f"{data}/pair_labels.parquet")
+    one = {r["term"]: r["group_term"] for r in group_terms(df).collect()}
+    linking = df.filter("upper(trim(label)) in ('SAME_WORD', 'SAME_MEANING')").count()
+    many = {r["term"]: r["group_term"] for r in group_terms(df, cell_edges=max(1, linking // 80)).collect()}
+    assert one == many and len(one) > 50
+
+
 def test_labels_and_forms(spark, rows):
     data = [
         (1, "ख", "क", "SAME_WORD"), (2, "ख", "ग", " same-meaning "), (3, "ख", "घ", "DIFF_MEANING"), (4, "ख", "ख", "SAME WORD"),
