@@ -9,7 +9,7 @@ from ..runtime import materialize, once_per_key, strip, table
 from .canon import canonicalise
 from .components import group_terms
 from .encoding import encode, token_counts
-from .frequencies import bg_rows, hyp_records, mark_terms, term_counts
+from .frequencies import bg_rows, counts_of, hyp_records, mark_terms
 from .languages import detect, fit, mislabelled
 from .looks import same_looking_columns, same_looking_rows, unify
 from .packing import pack
@@ -61,25 +61,25 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_terms(table(spark, sf_dir, "pair_labels"))
 
 
-def _counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     hyp = materialize(hyp_records(spark, sf_dir), "hyp").df  # read for the terms and for their number
     # a batch number may be missing; such rows form a record of their own
     bg = bg_rows(spark, sf_dir).withColumn("batch_no", F.coalesce("batch_no", F.lit(-(2**63))))
-    return term_counts(hyp, "hyp"), term_counts(bg, "token", record="batch_no", n="n"), hyp
+    return counts_of({"hyp": (hyp, "hyp"), "bg": (bg, "token", "batch_no", "n")}), hyp
 
 
 def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h, b, _ = _counts(spark, sf_dir)
-    named = lambda d, s: d.select(F.lit(s).alias("src"), "term_id", F.col("term").alias("token"), "occurrences", "records")
-    return named(h, "hyp").unionByName(named(b, "bg"))
+    counts, _ = _counts(spark, sf_dir)
+    return counts.select("src", "term_id", F.col("term").alias("token"), "occurrences", "records")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h, b, utterances = _counts(spark, sf_dir)
+    counts, utterances = _counts(spark, sf_dir)
+    held = materialize(counts, "counts").df  # read for the marks and for the sum over all terms
+    h, b = held.filter("src = 'hyp'"), held.filter("src = 'bg'")
     h = mark_terms(h, "records", 1, 0.05, utterances.agg(F.count("*").alias("whole")))
     b = mark_terms(b, "occurrences", 2, 0.005, b.agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("whole")))
-    named = lambda d, s: d.select(F.lit(s).alias("src"), F.col("term").alias("token"), "mark")
-    return named(h, "hyp").unionByName(named(b, "bg"))
+    return h.unionByName(b).select("src", F.col("term").alias("token"), "mark")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from dhwanika.llm.frequencies import mark_terms, term_counts, terms_of
+from dhwanika.llm.frequencies import counts_of, mark_terms, term_counts, terms_of
 from dhwanika.llm.queries import p4_found
 
 EDGE = ",.?!;:\"'()।|"
@@ -37,10 +37,27 @@ def test_records_and_weights(spark):
     assert got == {"x": (6, 2), "y": (1, 1)}
 
 
-def test_ids_do_not_depend_on_partitioning(spark):
-    df = spark.createDataFrame([(f"w{i % 97} w{i % 11}",) for i in range(500)], "text string")
-    a, b = ({r["term"]: r["term_id"] for r in term_counts(df.repartition(k), "text").collect()} for k in (2, 7))
-    assert a == b
+def test_results_do_not_depend_on_partitions_or_blocks(spark):
+    """Records that lie in many blocks, and another number of shuffle partitions."""
+    df = spark.createDataFrame([(i % 7, f"w{i % 97} w{i % 11} ｗ{i % 5}", i % 4) for i in range(500)], "batch long, text string, n long")
+    results = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, shuffle, block in ((1, "4", 1 << 18), (7, "16", 5), (3, "1", 40)):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+            results.append([set(map(tuple, term_counts(df.repartition(parts), *a, block=block).collect())) for a in (("text",), ("text", "batch", "n"))])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1] == results[2]
+    terms = sorted(t for _, t, _, _ in results[0][0])
+    assert {t: i for i, t, _, _ in results[0][0]} == {t: i for i, t in enumerate(terms)}
+
+
+def test_one_dictionary_for_all_sources(spark):
+    a = spark.createDataFrame([("x y",), ("y z",)], "t string")
+    b = spark.createDataFrame([(1, "z", 3), (2, "a z", 1)], "r long, t string, n long")
+    got = {tuple(r) for r in counts_of({"a": (a, "t"), "b": (b, "t", "r", "n")}).collect()}
+    assert got == {("a", 1, "x", 1, 1), ("a", 2, "y", 2, 2), ("a", 3, "z", 1, 1), ("b", 0, "a", 1, 1), ("b", 3, "z", 4, 2)}
 
 
 def test_marks_and_empty(spark):
