@@ -1,6 +1,6 @@
 """SQL functions of this library for a session.
 
-The Unicode forms and the phoneme distance are Arrow UDFs; all else is registered as SQL functions with a
+The Unicode forms, the normaliser of a text and the phoneme distance are Arrow UDFs; all else is registered as SQL functions with a
 SQL body, which the optimiser inlines and sees through.
 """
 
@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from . import normalization as N
 from . import phonetics as P
-from .unicode import NUKTA, WHITE, bare_word, decimal_digits, nfc, nfkc, odd_digits, strip_nukta
+from .unicode import WHITE, bare_word, nfc, nfkc, odd_digits, strip_nukta
 
 
 def _q(text: str) -> str:
@@ -46,20 +46,6 @@ def _number(d: str, w: N.NumberWords) -> str:
     return f"coalesce(nullif({fold}, ''), {_q(w.zero)})"
 
 
-def _normalize(code: str) -> str:
-    w = N.LANGUAGES[code]
-    signs = N.PUNCTUATION + ("" if code == "hi" else N.DANDAS)
-    folded = f"translate(nfc(t), {_q(NUKTA)}, '')" if code == "hi" else "nfc(t)"
-    digits = f"translate({folded}, {_q(decimal_digits()[0])}, {_q(decimal_digits()[1])})"
-    plain = f"regexp_replace({digits}, r'(?d){N.BRACKETS}', '')"
-    spoken = f"transform(regexp_extract_all({plain}, '[0-9]+', 0), d -> {_number('d', w)})"
-    text = f"array_join(zip_with(split({plain}, '[0-9]+', -1), {spoken}, (p, s) -> concat(p, coalesce(s, ''))), '')"
-    if code == "or":
-        text = f"translate({text}, {_q(N.ODIA_NUKTA)}, '')"
-    out = _squeeze(f"translate({text}, {_q(signs)}, '')")
-    return f"CASE WHEN t IS NULL THEN NULL WHEN {plain} rlike '[0-9]{{{N.MOST_DIGITS + 1}}}' THEN 'NA' ELSE coalesce(nullif({out}, ''), 'NA') END"
-
-
 def _phon(word: str) -> str:
     cons, sign = "".join(P.CONSONANTS.values()), "".join(P.SIGNS.values()) + P.VOCALIC_R_SIGN
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -79,7 +65,7 @@ def register(spark: SparkSession) -> list[str]:
     """Register all functions; returns their names."""
     from .phonetics import pdist
 
-    udfs = {"nfc": nfc, "nfkc": nfkc, "strip_nukta": strip_nukta, "bare_word": bare_word, "pdist": pdist}
+    udfs = {"nfc": nfc, "nfkc": nfkc, "strip_nukta": strip_nukta, "bare_word": bare_word, "pdist": pdist, "normalize_as": N.normalized}
     for name, f in udfs.items():
         spark.udf.register(name, f)
     near = _listed([x for p in P.NEAR for x in (p, p[::-1])])
@@ -93,11 +79,8 @@ def register(spark: SparkSession) -> list[str]:
         "canonical_text": ("t STRING", "STRING", _squeeze("nfkc(coalesce(t, ''))")),
         "language_code": ("lang STRING", "STRING", f"CASE WHEN {name} IN ({by('te')}) THEN 'te' WHEN {name} IN ({by('or')}) THEN 'or' ELSE 'hi' END"),
         **{f"number_words_{k}": ("d STRING", "STRING", _number("d", w)) for k, w in N.LANGUAGES.items()},
-        **{f"normalize_{k}": ("t STRING", "STRING", _normalize(k)) for k in N.LANGUAGES},
-        "normalize_text": (
-            "t STRING, lang STRING", "STRING",
-            "CASE language_code(lang) WHEN 'te' THEN normalize_te(t) WHEN 'or' THEN normalize_or(t) ELSE normalize_hi(t) END",
-        ),
+        **{f"normalize_{k}": ("t STRING", "STRING", f"normalize_as(t, '{k}')") for k in N.LANGUAGES},
+        "normalize_text": ("t STRING, lang STRING", "STRING", "normalize_as(t, language_code(lang))"),
         "norm_word": ("w STRING", "STRING", f"coalesce({_squeeze(tight)}, '')"),
         "phon": ("w STRING", "STRING", _phon("norm_word(w)")),
         "skeleton": ("w STRING", "STRING", "regexp_replace(phon(w), '[^A-Z]', '')"),

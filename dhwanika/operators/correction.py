@@ -117,18 +117,19 @@ def correct(
     """Add ``corrected``, ``changed``, ``edits`` and ``n_recovered`` to every row.
 
     A text in which nothing is left to read (null, blank, ``NA``) comes back as it is; any other comes
-    back in NFKC with white space collapsed.  Every whole word that equals a correctable token is
-    replaced, one edit each, in the order of the words.  ``oov_max`` must be below ``target_min``: then
-    no replacement is a candidate itself, and all can be done at once.
+    back in NFKC with white space collapsed.  The tokens are taken in order; each that can be corrected
+    replaces the first whole word that equals it by then, one edit each.  Where ``oov_max`` is below
+    ``target_min`` no replacement is a candidate itself, so all words are replaced at once; otherwise the
+    tokens of a text are folded over its words.
     """
-    if oov_max >= target_min:
-        raise ValueError("oov_max must be below target_min")
     rows = df.withColumn("_canon", canonical_text(F.col(text)))
     distinct = rows.select("_canon").distinct()
     candidates = distinct.select(F.explode(F.array_distinct(tokens(F.col("_canon")))).alias("token")).filter(is_devanagari(F.col("token"))).distinct()
     table = edit_table(candidates, lexicon_weights, counts, oov_max, rel_min, min_sim, target_min)
+    in_turn = oov_max >= target_min
+    heard = tokens(F.col("_canon")) if in_turn else F.split("_canon", " ")
     found = (
-        distinct.select("_canon", F.explode(F.array_distinct(F.split("_canon", " "))).alias("token"))
+        distinct.select("_canon", F.explode(F.array_distinct(heard)).alias("token"))
         .join(table, "token")
         .groupBy("_canon")
         .agg(F.map_from_entries(F.collect_list(F.struct("token", F.struct("surface", "sim")))).alias("_map"))
@@ -143,17 +144,40 @@ def correct(
     )
     none = F.lit([]).cast("array<struct<from:string,to:string,sim:double,tier:string>>")
     new = F.array_join(F.transform(said, lambda w: F.coalesce(F.col("_map")[w]["surface"], w)), " ")
+    if in_turn:
+        found = found.withColumn("_fold", _folded(said, tokens(F.col("_canon"))))
+        edits, new = F.col("_fold.edits"), F.array_join("_fold.words", " ")
     changed = read & F.col("_map").isNotNull()
+    if in_turn:  # a token may not be a whole word, or no more be one
+        changed = read & F.coalesce(F.size("_fold.edits") > 0, F.lit(False))
     return (
         rows.join(found, "_canon", "left")
         .withColumn("corrected", F.when(~read, F.col(text)).when(changed, new).otherwise(F.col("_canon")))
         .withColumn("changed", changed)
         .withColumn("edits", F.when(changed, edits).otherwise(none))
         .withColumn("n_recovered", F.size("edits"))
-        .drop("_canon", "_map")
+        .drop("_canon", "_map", "_fold")
     )
 
 
+def _folded(said: Column, own: Column) -> Column:
+    """struct<words, edits>: the words of a text after each token in turn has replaced the first word that equals it.
+
+    A replacement may itself be a token that is still to come, or one that was taken before.
+    """
+    entry = lambda t: F.col("_map")[t]
+    edit = lambda t: F.struct(t.alias("from"), entry(t)["surface"].alias("to"), F.round(entry(t)["sim"], 3).alias("sim"), F.lit(TIER).alias("tier"))
+    none = F.lit([]).cast("array<struct<from:string,to:string,sim:double,tier:string>>")
+
+    def step(state: Column, t: Column) -> Column:
+        at = F.array_position(state["words"], t).cast("int")
+        words_ = F.transform(state["words"], lambda w, i: F.when(i == at - 1, entry(t)["surface"]).otherwise(w))
+        done = F.struct(words_.alias("words"), F.concat(state["edits"], F.array(edit(t))).alias("edits"))
+        return F.when(F.map_contains_key("_map", t) & (at > 0), done).otherwise(state)
+
+    return F.aggregate(own, F.struct(said.alias("words"), none.alias("edits")), step)
+
+
 def domain_terms(df: DataFrame, key: str, normed: str, weighted: DataFrame, variants: DataFrame, rel_min: int = REL_MIN) -> DataFrame:
     """(key, nth, term): high-weight terms among the words of a normalised text, variants folded, in order."""
     said = df.select(F.col(key).alias("key"), F.posexplode(words(F.col(normed))).alias("nth", "token"))

@@ -2,92 +2,67 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, LongType, StructType
 
+from ..functions.alignment import EQUAL, chunked, flat_operations, weighed
 from ..functions.normalization import NOTHING, Normalizer, normalize, normalize_hindi
-from ..functions.unicode import once, words
+from ..functions.unicode import words
 from ..runtime import materialize, strip
 
+HELD = 200_000  # weights that are broadcast; more of them are joined with the texts instead
+SCORED = StructType().add("edits", "long").add("weight", "double").add("total", "double").add("words", "long")
+CHUNK = StructType().add("type", "string").add("ref_start", "integer").add("ref_end", "integer").add("hyp_start", "integer").add("hyp_end", "integer")
 
-def best_alignment(r: list, h: list, wr: list, wh: list) -> tuple[int, float]:
-    """Least number of word edits between ``r`` and ``h``, and what they weigh.
 
-    Substitutions and deletions weigh as the reference word, insertions as the hypothesis word.  Of
-    alignments with equally few edits this is the one found from the end, after common head and tail
-    are set aside, by taking a deletion where it leads to a least path, else an insertion where the
-    cell before it is one better than the diagonal, else the diagonal.  The choice depends on
-    neighbouring cells only, so it is made on the way forward and no path is kept.
+@arrow_udf(LongType())
+def word_edits(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """Least number of word edits between two arrays of words."""
+    ops, begin, *_ = flat_operations(ref, hyp)
+    wrong = np.r_[0, np.cumsum(ops != EQUAL)]
+    return pa.array(wrong[begin[1:]] - wrong[begin[:-1]], pa.int64())
+
+
+@arrow_udf(ArrayType(CHUNK))
+def alignment_chunks(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """Runs of equal, substituted, deleted and inserted words of two arrays of words, with their places in both.
+
+    Of alignments with equally few edits the one is taken that ``functions.alignment.operations`` names.  A
+    null array has no words; of two without words there are no runs.
     """
-    least = min(len(r), len(h))
-    head = 0
-    while head < least and r[head] == h[head]:
-        head += 1
-    tail = 0
-    while tail < least - head and r[len(r) - 1 - tail] == h[len(h) - 1 - tail]:
-        tail += 1
-    r, wr = r[head : len(r) - tail], wr[head : len(wr) - tail]
-    h, wh = h[head : len(h) - tail], wh[head : len(wh) - tail]
-    count = list(range(len(h) + 1))
-    weight = [0.0]
-    for w in wh:
-        weight.append(weight[-1] + w)
-    for word, own in zip(r, wr):
-        diagonal, dw = count[0], weight[0]
-        left, lw = diagonal + 1, dw + own
-        count[0], weight[0] = left, lw
-        for j, other in enumerate(h, 1):
-            up, uw = count[j], weight[j]
-            differs = word != other
-            e = min(up + 1, left + 1, diagonal + differs)
-            if up + 1 == e:
-                w = uw + own
-            elif left + 1 == diagonal:
-                w = lw + wh[j - 1]
-            else:
-                w = dw + differs * own
-            diagonal, dw = up, uw
-            count[j], weight[j] = left, lw = e, w
-    return count[-1], weight[-1]
-
-
-@pandas_udf(StructType([StructField("edits", IntegerType()), StructField("weight", DoubleType())]))
-def alignment(ref: pd.Series, hyp: pd.Series, ref_weights: pd.Series, hyp_weights: pd.Series) -> pd.DataFrame:
-    """struct<edits, weight> of ``best_alignment`` over arrays of words and of weights."""
-    out = [best_alignment(*(list(x) for x in row)) for row in zip(ref, hyp, ref_weights, hyp_weights)]
-    return pd.DataFrame(out, columns=["edits", "weight"]).astype({"edits": "int32", "weight": "float64"})
-
-
-@pandas_udf(IntegerType())
-def _long_edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """Word edits of texts with more words than there are signs to stand for them; null passes."""
-    ones = lambda x: [1.0] * len(x)
-    found = [None if r is None else best_alignment(list(r), list(h), ones(r), ones(h))[0] for r, h in zip(ref, hyp)]
-    return pd.Series(found, dtype="Int32")
-
-
-#: A sign for each distinct word of a pair: 20,992 code points in a row.
-SIGNS = "".join(chr(c) for c in range(0x4E00, 0xA000))
-
-
-def word_edits(ref: Column, hyp: Column) -> Column:
-    """Least number of word edits between two arrays of words.
-
-    Each distinct word of the pair stands for one sign, and the built-in edit distance counts.
+    return chunked(ref, hyp)
+
+
+def aligned_chunks(df: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
+    """(key, nth, type, ref_start, ref_end, hyp_start, hyp_end): the runs of every row's two texts, as words, in order.
+
+    Places count words from 0; the end is the place after the last.
     """
+    runs = df.select(F.col(key).alias("key"), F.posexplode(alignment_chunks(words(F.col(ref)), words(F.col(hyp)))).alias("nth", "x"))
+    return runs.select(F.col("key").alias(key), "nth", "x.*")
+
+
+def _scorer(spark, weighted: DataFrame):
+    """Function of two arrays of words to their struct of sums; the weights are held by every worker."""
+    shared = spark.sparkContext.broadcast({r["token"]: float(r["weight"]) for r in weighted.select("token", "weight").collect()})
 
-    def count(r: Column, h: Column) -> Column:
-        def signs(own: Column, all_: Column) -> Column:
-            return F.array_join(F.transform(own, lambda w: F.substring(F.lit(SIGNS), F.array_position(all_, w).cast("int"), F.lit(1))), "")
+    @arrow_udf(SCORED)
+    def score(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+        known = shared.value
+        return weighed(ref, hyp, lambda ws: [known.get(w, 1.0) for w in ws])
 
-        return once(lambda x, y, u: F.levenshtein(signs(x, u), signs(y, u)), r, h, F.array_distinct(F.concat(r, h)))
+    return score
 
-    many = F.size(F.array_distinct(F.concat(ref, hyp))) > len(SIGNS)
-    slow = _long_edits(F.when(many, ref), F.when(many, hyp))
-    return F.when(ref == hyp, 0).when(many, slow).otherwise(once(count, ref, hyp))
+
+@arrow_udf(SCORED)
+def _score_mapped(ref: pa.Array, hyp: pa.Array, weights: pa.Array) -> pa.Array:
+    """The same with a map of weights for every row; a word weighs the same in any of them."""
+    known = dict(zip(weights.keys.to_pylist(), weights.items.to_pylist()))
+    return weighed(ref, hyp, lambda ws: [known.get(w, 1.0) for w in ws])
 
 
 def _pairs(df: DataFrame, r: Column, h: Column, *by: str) -> DataFrame:
@@ -146,31 +121,28 @@ def word_weights(texts: DataFrame, text: str, weighted: DataFrame) -> DataFrame:
     )
 
 
-def weighted_wer(df: DataFrame, weighted: DataFrame, ref: str = "ref", hyp: str = "hyp", lang: str = "lang") -> DataFrame:
+def weighted_wer(df: DataFrame, weighted: DataFrame, ref: str = "ref", hyp: str = "hyp", lang: str = "lang", held: int = HELD) -> DataFrame:
     """One row: numerators and denominators of the weighted and the plain rate, and both rates to 4 places.
 
-    ``weighted``: (token, weight); any other word weighs 1.  Rows whose reference is empty are left out.
+    ``weighted``: (token, weight), a row a token; any other word weighs 1.  Rows whose reference is empty are
+    left out.  Up to ``held`` weights are broadcast; more are joined with the words of the texts.
     """
-    pairs = materialize(scored_pairs(df, ref, hyp, lang), "pairs").df  # read three times below
-    texts = pairs.select(F.explode(F.array("rn", "hn")).alias("text"))
-    of = word_weights(texts, "text", weighted)
-    mapped = (
-        pairs.join(of.select(F.col("text").alias("rn"), F.col("weights").alias("rw")), "rn", "left")
-        .join(of.select(F.col("text").alias("hn"), F.col("weights").alias("hw")), "hn", "left")
-        .withColumn("r", words(F.col("rn"))).withColumn("h", words(F.col("hn")))
-    )
-    weigh = lambda w, m: F.transform(w, lambda t: F.coalesce(F.col(m)[t], F.lit(1.0)))
-    mapped = mapped.withColumn("wr", weigh("r", "rw")).withColumn("wh", weigh("h", "hw"))
-    none = F.struct(F.lit(0).alias("edits"), F.lit(0.0).alias("weight"))
-    # identical pairs, the bulk of a good recogniser's output, need no table
-    same = mapped.filter("rn = hn").withColumn("a", none)
-    other = mapped.filter("rn <> hn").withColumn("a", alignment(F.col("r"), F.col("h"), F.col("wr"), F.col("wh")))
-    total = F.aggregate("wr", F.lit(0.0), lambda s, w: s + w)
-    rows = same.unionByName(other).select("times", "a", total.alias("den"), F.size("r").alias("n"))
-    times = F.col("times")
-    sums = rows.agg(
-        *[F.coalesce(F.sum(x * times), F.lit(0)).cast(t).alias(k) for k, x, t in (
-            ("num", F.col("a.weight"), "double"), ("den", F.col("den"), "double"), ("edits", F.col("a.edits"), "long"), ("words", F.col("n"), "long"),
+    pairs = scored_pairs(df, ref, hyp, lang)
+    if weighted.limit(held + 1).count() <= held:
+        score = _scorer(df.sparkSession, weighted)
+        scored = pairs.select("times", score(words(F.col("rn")), words(F.col("hn"))).alias("a"))
+    else:
+        pairs = materialize(pairs, "pairs").df  # read three times below
+        of = word_weights(pairs.select(F.explode(F.array("rn", "hn")).alias("text")), "text", weighted)
+        maps = pairs.join(of.select(F.col("text").alias("rn"), F.col("weights").alias("rw")), "rn", "left").join(
+            of.select(F.col("text").alias("hn"), F.col("weights").alias("hw")), "hn", "left"
+        )
+        entries = [F.coalesce(F.map_entries(c), F.lit([]).cast("array<struct<key:string,value:double>>")) for c in ("rw", "hw")]
+        both = F.map_from_entries(F.array_distinct(F.concat(*entries)))
+        scored = maps.select("times", _score_mapped(words(F.col("rn")), words(F.col("hn")), both).alias("a"))
+    sums = scored.agg(
+        *[F.coalesce(F.sum(F.col(f"a.{c}") * F.col("times")), F.lit(0)).cast(t).alias(k) for k, c, t in (
+            ("num", "weight", "double"), ("den", "total", "double"), ("edits", "edits", "long"), ("words", "words", "long"),
         )]
     )
     return sums.withColumn("awwer", F.round(F.col("num") / F.greatest("den", F.lit(1.0)), 4)).withColumn(

@@ -85,16 +85,17 @@ def _weighted_dp(r: str, h: str, wr: str, wh: str) -> str:
 
 
 HYP = S.dispatched("hyp", "lang")
-BAD = f"hyp IS NULL OR regexp_replace(hyp, '^{S.BLANKS}+|{S.BLANKS}+$', '', 'g') = '' OR starts_with(hyp, '__ERROR__')"
-QUERIES["awwer"] = awwer
-SQL["awwer"] = f"""WITH {WEIGHTS}, pairs AS ({_pairs(S.dispatched('ref', 'lang'), f"CASE WHEN {BAD} OR {HYP} = 'NA' THEN '' ELSE {HYP} END")}),
-listed AS (SELECT map(list(token), list(CAST(weight AS DOUBLE))) AS m FROM weights),
-split_up AS (SELECT *, {WORDS('rn')} AS r0, {WORDS('hn')} AS h0 FROM pairs),
+TRIMMED = f"""split_up AS (SELECT *, {WORDS('rn')} AS r0, {WORDS('hn')} AS h0 FROM pairs),
 headed AS (
   SELECT *, coalesce(list_position(list_transform(range(1, least(len(r0), len(h0)) + 1), lambda i: r0[i] = h0[i]), false) - 1, least(len(r0), len(h0))) AS head FROM split_up
 ), tailed AS (
   SELECT *, least(coalesce(list_position(list_transform(range(1, least(len(r0), len(h0)) - head + 1), lambda i: r0[len(r0) - i + 1] = h0[len(h0) - i + 1]), false) - 1, least(len(r0), len(h0)) - head), least(len(r0), len(h0)) - head) AS tail FROM headed
-), weighed AS (
+)"""
+BAD = f"hyp IS NULL OR regexp_replace(hyp, '^{S.BLANKS}+|{S.BLANKS}+$', '', 'g') = '' OR starts_with(hyp, '__ERROR__')"
+QUERIES["awwer"] = awwer
+SQL["awwer"] = f"""WITH {WEIGHTS}, pairs AS ({_pairs(S.dispatched('ref', 'lang'), f"CASE WHEN {BAD} OR {HYP} = 'NA' THEN '' ELSE {HYP} END")}),
+listed AS (SELECT map(list(token), list(CAST(weight AS DOUBLE))) AS m FROM weights),
+{TRIMMED}, weighed AS (
   SELECT times, rn = hn AS same, r0, r0[head + 1:len(r0) - tail] AS r, h0[head + 1:len(h0) - tail] AS h, m FROM tailed, listed
 ), valued AS (
   SELECT *, list_transform(r0, lambda t: coalesce(m[t], 1.0)) AS w0, list_transform(r, lambda t: coalesce(m[t], 1.0)) AS wr, list_transform(h, lambda t: coalesce(m[t], 1.0)) AS wh FROM weighed
@@ -104,3 +105,36 @@ headed AS (
   SELECT CAST(coalesce(sum(x[2] * times), 0) AS DOUBLE) AS num, CAST(coalesce(sum(den * times), 0) AS DOUBLE) AS den,
     CAST(coalesce(sum(x[1] * times), 0) AS BIGINT) AS edits, CAST(coalesce(sum(n * times), 0) AS BIGINT) AS words FROM scored
 ) SELECT *, round(num / greatest(den, 1), 4) AS awwer, round(edits / greatest(words, 1), 4) AS wer FROM sums"""
+
+
+def alignment_ops(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of the alignment of every distinct normalised pair."""
+    pairs = scoring.scored_pairs(table(spark, d, "aligned")).select("rn", "hn", F.struct("rn", "hn").alias("pair"))
+    return scoring.aligned_chunks(pairs, "pair", "rn", "hn").select(F.col("pair.rn").alias("rn"), F.col("pair.hn").alias("hn"), "nth", "type", "ref_start", "ref_end", "hyp_start", "hyp_end")
+
+
+def _ops_dp(r: str, h: str) -> str:
+    """Operations of the preferred alignment as letters; rows are lists of [edits, letters]."""
+    places = lambda x: f"list_transform(range(1, len({x}) + 1), lambda i: [[CAST(i AS VARCHAR)]])"
+    i, j = "CAST(p[1][1] AS BIGINT)", "CAST(k[1][1] AS BIGINT)"
+    up, left, diagonal = f"a[{j} + 1]", "cur[len(cur)]", f"a[{j}]"
+    n = lambda c: f"CAST({c}[1] AS BIGINT)"
+    same = f"{r}[{i}] = {h}[{j}]"
+    e = f"least({n(up)} + 1, {n(left)} + 1, {n(diagonal)} + CASE WHEN {same} THEN 0 ELSE 1 END)"
+    cell = f"[CAST({e} AS VARCHAR), CASE WHEN {n(up)} + 1 = {e} THEN {up}[2] || 'D' WHEN {n(left)} + 1 = {n(diagonal)} THEN {left}[2] || 'I' ELSE {diagonal}[2] || CASE WHEN {same} THEN 'E' ELSE 'S' END END]"
+    row = f"list_reduce({places(h)}, lambda cur, k: list_append(cur, {cell}), [[CAST(CAST(a[1][1] AS BIGINT) + 1 AS VARCHAR), a[1][2] || 'D']])"
+    start = f"list_transform(range(0, len({h}) + 1), lambda n: [CAST(n AS VARCHAR), repeat('I', n)])"
+    return f"list_last(list_reduce({places(r)}, lambda a, p: {row}, {start}))[2]"
+
+
+QUERIES["alignment_ops"] = alignment_ops
+SQL["alignment_ops"] = f"""WITH pairs AS ({_pairs(S.dispatched('ref', 'lang'), f"CASE WHEN {BAD} OR {HYP} = 'NA' THEN '' ELSE {HYP} END")}),
+{TRIMMED}, traced AS (
+  SELECT rn, hn, repeat('E', head) || {_ops_dp('r', 'h')} || repeat('E', tail) AS ops
+  FROM (SELECT *, r0[head + 1:len(r0) - tail] AS r, h0[head + 1:len(h0) - tail] AS h FROM tailed)
+), runs AS (SELECT *, regexp_extract_all(ops, 'E+|S+|D+|I+') AS x FROM traced),
+placed AS (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM runs), spans AS (
+  SELECT *, CAST(coalesce(list_sum(list_transform(x[1:i - 1], lambda c: CASE WHEN c[1] = 'I' THEN 0 ELSE len(c) END)), 0) AS INTEGER) AS ra,
+    CAST(coalesce(list_sum(list_transform(x[1:i - 1], lambda c: CASE WHEN c[1] = 'D' THEN 0 ELSE len(c) END)), 0) AS INTEGER) AS ha, CAST(len(x[i]) AS INTEGER) AS size, x[i][1] AS op FROM placed
+) SELECT rn, hn, CAST(i - 1 AS INTEGER) AS nth, CASE op WHEN 'E' THEN 'equal' WHEN 'S' THEN 'substitute' WHEN 'D' THEN 'delete' ELSE 'insert' END AS type,
+  ra AS ref_start, ra + CASE op WHEN 'I' THEN 0 ELSE size END AS ref_end, ha AS hyp_start, ha + CASE op WHEN 'D' THEN 0 ELSE size END AS hyp_end FROM spans"""

@@ -169,17 +169,10 @@ _add(
 )
 
 
-def _alien(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens against the targets that begin with a vowel: those that begin with a consonant have no bucket."""
-    vowels = _vocabulary(spark, d).filter("first in ('a', 'i', 'u', 'e', 'o')")
-    return _rounded(M.match(candidates(spark, d), "token", vowels, 0.7))
-
-
 _add(
     "match_fallback",
-    _alien,
-    f"WITH {WEIGHTS}, {TARGETS}, {VOCAB.replace('vocab AS', 'every AS')}, vocab AS (SELECT * FROM every WHERE first IN ('a', 'i', 'u', 'e', 'o')), "
-    f"{SAID}, {encoded('said')}, {EXACT}, {fuzzy_sql(0.7)} SELECT token, surface, round(sim, 6) AS sim, collision FROM fuzzy "
+    lambda spark, d: _rounded(M.match(candidates(spark, d), "token", _vocabulary(spark, d), 0.7)),
+    f"{BASE}, {EXACT}, {fuzzy_sql(0.7)} SELECT token, surface, round(sim, 6) AS sim, collision FROM fuzzy "
     "UNION ALL SELECT token, surface, round(sim, 6), collision FROM exact",
 )
 
@@ -243,7 +236,7 @@ def domain_terms(spark: SparkSession, d: str) -> DataFrame:
 _add(
     "domain_terms",
     domain_terms,
-    f"""WITH {WEIGHTS}, {TARGETS}, {VARIANTS}, normed AS (SELECT utt_id, received_at, {S.dispatched('ref', 'lang')} AS t FROM aligned WHERE utt_id IS NOT NULL AND received_at IS NOT NULL),
+    f"""WITH {WEIGHTS}, {TARGETS}, {VARIANTS}, normed AS (SELECT utt_id, received_at, {S.dispatched('ref', 'lang')} AS t FROM aligned),
     placed AS (SELECT utt_id, received_at, unnest(range(0, len(ws))) AS nth, unnest(ws) AS token FROM (SELECT *, string_split(t, ' ') AS ws FROM normed WHERE t IS NOT NULL))
     SELECT utt_id, CAST(nth AS INTEGER) AS nth, coalesce(v.anchor, p.token) AS term
     FROM placed p LEFT JOIN variants v ON v.candidate = p.token LEFT JOIN targets g ON g.token = p.token WHERE g.token IS NOT NULL OR v.anchor IS NOT NULL""",
@@ -257,6 +250,26 @@ def windows_1_3(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(M.correct_windows(rows, "said", "tokens", _vocabulary(spark, d))).withColumnRenamed("i", "at")
 
 
-_add("windows_1_3", windows_1_3)
+CLEAR = "len(list_filter(kept, lambda k: k.p < w[1].p + w[1].span AND w[1].p < k.p + k.span)) = 0"
+_add(
+    "windows_1_3",
+    windows_1_3,
+    f"""WITH {WEIGHTS}, {TARGETS}, {VOCAB}, lines AS (
+      SELECT DISTINCT canon AS said, list_filter(string_split(canon, ' '), lambda w: w <> '') AS ws FROM ({HYP})
+    ), starts AS (SELECT said, ws, unnest([3, 2, 1]) AS span FROM lines),
+    windows AS (
+      SELECT said, span, p, array_to_string(ws[p + 1:p + span], '') AS joined, array_to_string(ws[p + 1:p + span], ' ') AS text
+      FROM (SELECT *, unnest(range(0, len(ws) - span + 1)) AS p FROM starts WHERE len(ws) >= span)
+    ), every AS (SELECT DISTINCT joined AS token FROM windows), {encoded('every')}, {EXACT}, {fuzzy_sql(M.MIN_SIM)},
+    matched AS (SELECT token, surface, sim, collision FROM exact UNION ALL SELECT token, surface, sim, collision FROM fuzzy),
+    hits AS (
+      SELECT said, list(w ORDER BY w.span DESC, w.p) AS ws FROM (
+        SELECT said, {{'p': w.p, 'span': w.span, 'text': w.text, 'surface': m.surface, 'sim': m.sim, 'collision': m.collision}} AS w
+        FROM windows w JOIN matched m ON m.token = w.joined JOIN encoded e ON e.token = w.joined WHERE m.surface <> e.spelt) GROUP BY said
+    ), taken AS (
+      SELECT said, list_reduce(list_transform(ws, lambda w: [w]), lambda kept, w: CASE WHEN {CLEAR} THEN list_append(kept, w[1]) ELSE kept END) AS kept FROM hits
+    ), numbered AS (SELECT said, unnest(range(0, len(kept))) AS nth, unnest(kept) AS w FROM taken)
+    SELECT said, CAST(nth AS INTEGER) AS nth, CAST(w.p AS INTEGER) AS "at", CAST(w.span AS INTEGER) AS span, w.text AS text, w.surface AS surface, round(w.sim, 6) AS sim, w.collision AS collision FROM numbered""",
+)
 _add("part_phonemes", lambda spark, d: table(spark, d, "part").select("p_name").distinct().select("p_name", phon(F.col("p_name")).alias("phon")),
      f"SELECT p_name, {S.phon('c')} AS phon FROM (SELECT DISTINCT p_name, {S.norm_word('p_name')} AS c FROM part)")

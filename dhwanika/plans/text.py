@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalization as N
 from ..functions import phonetics as P
+from ..functions.register import register
 from ..functions.unicode import strip_nukta as nukta_free
 from ..runtime import table
 from . import sqltext as S
@@ -121,3 +122,21 @@ _add(
     lambda spark, d: pair_distances(spark, d).select("a", "b", F.round(P.similarity(F.col("d"), F.col("a"), F.col("b")), 6).alias("sim")),
     f"{DISTANCES} SELECT a, b, round(CAST({S.psim('d', 'a', 'b')} AS DOUBLE), 6) AS sim FROM measured",
 )
+
+
+def sql_normalize(spark: SparkSession, d: str) -> DataFrame:
+    """The normaliser as a SQL function."""
+    register(spark)
+    table(spark, d, "aligned").createOrReplaceTempView("sql_normalize_rows")
+    return spark.sql("SELECT utt_id, normalize_text(ref, lang) AS ref_n, normalize_text(hyp, lang) AS hyp_n FROM sql_normalize_rows")
+
+
+def sql_phon(spark: SparkSession, d: str) -> DataFrame:
+    """Spelling, phonemes and skeleton as SQL functions."""
+    register(spark)
+    terms(spark, d).createOrReplaceTempView("sql_phon_rows")
+    return spark.sql("SELECT word, norm_word(word) AS spelt, phon(word) AS phon, skeleton(word) AS skeleton FROM sql_phon_rows")
+
+
+_add("sql_normalize", sql_normalize, SQL["normalize_dispatch"])
+_add("sql_phon", sql_phon, f"SELECT word, c AS spelt, {S.phon('c')} AS phon, regexp_replace({S.phon('c')}, '[^A-Z]', '', 'g') AS skeleton FROM ({NORMED})")

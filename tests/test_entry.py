@@ -25,9 +25,7 @@ def cells(rows, columns):
 def test_query_equals_sql(spark, data, duck, name):
     df = catalog.QUERIES[name](spark, data)
     mine = [tuple(r) for r in df.collect()]
-    if name not in catalog.SQL:
-        assert len(mine) >= 0
-        return
+    assert name in catalog.SQL
     cursor = duck.execute(catalog.SQL[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(columns) == sorted(df.columns)

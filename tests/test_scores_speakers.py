@@ -1,9 +1,13 @@
 import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from dhwanika.functions import alignment as A
 from dhwanika.operators import scoring as S
 from dhwanika.operators import speakers as V
 
@@ -42,55 +46,86 @@ def test_plain_rate(spark):
 WORDS = st.lists(st.sampled_from("abc"), max_size=7)
 
 
-@given(WORDS, WORDS)
-def test_alignment_has_least_edits(r, h):
-    row = list(range(len(h) + 1))
-    for i, x in enumerate(r, 1):
-        new = [i]
-        for j, y in enumerate(h, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    edits, weight = S.best_alignment(r, h, [1.0] * len(r), [1.0] * len(h))
-    assert edits == row[-1] == weight
-
-
-def back_from_the_end(r, h, wr, wh):
-    """The same rule by walking a full table back."""
-    while r and h and r[0] == h[0]:
-        r, h, wr, wh = r[1:], h[1:], wr[1:], wh[1:]
+def back_from_the_end(r, h):
+    """Operations by walking a full table back, head and tail set aside."""
+    head = tail = 0
+    while head < min(len(r), len(h)) and r[head] == h[head]:
+        head += 1
+    r, h = r[head:], h[head:]
     while r and h and r[-1] == h[-1]:
-        r, h, wr, wh = r[:-1], h[:-1], wr[:-1], wh[:-1]
+        r, h, tail = r[:-1], h[:-1], tail + 1
     d = [[i + j if not i or not j else 0 for j in range(len(h) + 1)] for i in range(len(r) + 1)]
     for i in range(1, len(r) + 1):
         for j in range(1, len(h) + 1):
             d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (r[i - 1] != h[j - 1]))
-    i, j, w = len(r), len(h), 0.0
+    i, j, out = len(r), len(h), []
     while i or j:
         if i and d[i - 1][j] + 1 == d[i][j]:
             i -= 1
-            w += wr[i]
+            out.append(A.DELETE)
         elif j and (not i or d[i][j - 1] + 1 == d[i - 1][j - 1]):
             j -= 1
-            w += wh[j]
+            out.append(A.INSERT)
         else:
             i, j = i - 1, j - 1
-            w += (r[i] != h[j]) * wr[i]
-    return w
-
-
-@given(WORDS, WORDS)
-def test_weights_follow_the_path_from_the_end(r, h):
+            out.append(A.SUBSTITUTE if r[i] != h[j] else A.EQUAL)
+    return [A.EQUAL] * head + out[::-1] + [A.EQUAL] * tail, d[-1][-1]
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 60, 12])
+@given(st.lists(st.tuples(WORDS, WORDS), max_size=6))
+def test_operations_of_many_pairs(cells, pairs):
+    """Side by side in one table, in several, and in tables of which only some rows are kept."""
+    before, A.CELLS = A.CELLS, cells
+    try:
+        code = lambda x: np.array(["abc".index(w) for w in x], np.int64)
+        got = A.operations([code(r) for r, _ in pairs], [code(h) for _, h in pairs])
+    finally:
+        A.CELLS = before
+    for (r, h), ops in zip(pairs, got):
+        want, least = back_from_the_end(r, h)
+        assert ops.tolist() == want and (ops != A.EQUAL).sum() == least
+        assert (ops != A.INSERT).sum() == len(r) and (ops != A.DELETE).sum() == len(h)
+
+
+@given(st.lists(st.tuples(WORDS, WORDS), min_size=1, max_size=6))
+def test_weights_follow_the_operations(pairs):
     value = {"a": 1.0, "b": 2.0, "c": 4.0}
-    wr, wh = [value[x] for x in r], [value[x] for x in h]
-    assert S.best_alignment(r, h, wr, wh)[1] == back_from_the_end(r, h, wr, wh)
-
-
-def test_word_edits_without_signs_enough(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
-    monkeypatch.setattr(S, "SIGNS", "一丁七")
-    df = spark.createDataFrame([(["a", "b", "c", "d"], ["a", "c", "e"]), (["a"], ["b"]), ([], ["x", "y"])], "r array<string>, h array<string>")
-    assert [r[0] for r in df.select(S.word_edits(F.col("r"), F.col("h"))).collect()] == [2, 1, 2]
+    lists = [pa.array([p[k] for p in pairs], pa.list_(pa.string())) for k in (0, 1)]
+    got = A.weighed(*lists, lambda ws: [value[w] for w in ws]).to_pylist()
+    for (r, h), x in zip(pairs, got):
+        ops, least = back_from_the_end(list(r), list(h))
+        ri, hi, weight = iter(r), iter(h), 0.0
+        for o in ops:
+            w, v = (next(ri) if o != A.INSERT else None), (next(hi) if o != A.DELETE else None)
+            weight += value[v] if o == A.INSERT else value[w] if o != A.EQUAL else 0
+        assert x == {"edits": least, "weight": weight, "total": sum(value[w] for w in r), "words": len(r)}
+
+
+def test_chunks(spark):
+    data = [(1, REF, HYP), (2, "क ख", None), (3, "", ""), (4, "", "क"), (5, "क ख", "क ख")]
+    out = S.aligned_chunks(spark.createDataFrame(data, "id int, r string, h string"), "id", "r", "h").orderBy("id", "nth").collect()
+    got = [tuple(r) for r in out]
+    assert got[:5] == [(1, 0, "equal", 0, 4, 0, 4), (1, 1, "insert", 4, 4, 4, 5), (1, 2, "equal", 4, 5, 5, 6), (1, 3, "delete", 5, 6, 6, 6), (1, 4, "equal", 6, 7, 6, 7)]
+    assert got[5:] == [(2, 0, "delete", 0, 2, 0, 0), (4, 0, "insert", 0, 0, 0, 1), (5, 0, "equal", 0, 2, 0, 2)]
+    df = spark.createDataFrame([(["a", "b", "c", "d"], ["a", "c", "e"]), (["a"], ["b"]), ([], ["x", "y"]), (None, ["x"])], "r array<string>, h array<string>")
+    assert [r[0] for r in df.repartition(1).select(S.word_edits(F.col("r"), F.col("h"))).collect()] == [2, 1, 2, 1]
+
+
+def test_a_long_pair():
+    rng = np.random.default_rng(4)
+    r, h = rng.integers(0, 50, 4000), rng.integers(0, 50, 3000)
+    ops = A.operations([r], [h])[0]
+    assert (ops != A.INSERT).sum() == 4000 and (ops != A.DELETE).sum() == 3000
+
+
+def test_weights_held_or_joined(spark, data):
+    """The same sums whichever way the weights come to the words."""
+    from dhwanika.operators import correction as C
+
+    rows, weights = spark.read.parquet(f"{data}/aligned.parquet"), C.weights(spark.read.parquet(f"{data}/lexicon.parquet"))
+    a, b = (S.weighted_wer(rows, weights, held=n).first().asDict() for n in (10_000, 0))
+    assert {k: round(v, 6) for k, v in a.items()} == {k: round(v, 6) for k, v in b.items()} and a["num"] > a["edits"] > 0
 
 
 def clip(spark, parts, sr=10, audio=None, n=None):
