@@ -33,6 +33,7 @@ ALIASES = {
 SMOOTHING = 0.05
 SWITCH = 20.0  # nats a change of language costs, against word scores averaged over the n-gram orders
 STRETCH = 4  # words that make a stretch
+FOLDS = 5
 
 
 def words_of(text: str) -> list[str]:
@@ -73,20 +74,47 @@ def buckets(words: list[str], n_buckets: int = BUCKETS) -> tuple[np.ndarray, np.
 
 
 class Model:
-    """Log-probabilities by (bucket, language)."""
+    """Log-probabilities by (bucket, language), and what a difference of scores is divided by for a confidence."""
 
-    def __init__(self, languages: list[str], table: np.ndarray):
-        self.languages, self.table = languages, table
+    def __init__(self, languages: list[str], table: np.ndarray, temperature: float = 1.0):
+        self.languages, self.table, self.temperature = languages, table, temperature
 
     @staticmethod
     def fit(texts: list[str], langs: list[str]) -> Model:
+        """Model of all sentences; its temperature is measured on sentences that a model of the others hasn't seen.
+
+        The n-grams of a text are no independent witnesses, so their sum overstates the evidence.
+        """
+        parts = [[i for i in range(len(texts)) if i % FOLDS == k] for k in range(FOLDS)]
+        scores, right = [], []
+        for held in parts if len(texts) >= FOLDS else []:
+            out = set(held)
+            rest = [i for i in range(len(texts)) if i not in out]
+            m = Model._fit([texts[i] for i in rest], [langs[i] for i in rest])
+            for i in held:
+                if langs[i] not in m.languages or len(m.languages) < 2:
+                    continue
+                s = m.word_scores(words_of(texts[i]))
+                # whole sentences and their beginnings: short stretches are the doubtful ones
+                for n in sorted({1, 2, 3, 4, 6, len(s)}):
+                    if 0 < n <= len(s) and np.any(s[:n]):
+                        total = dict(zip(m.languages, s[:n].sum(0)))
+                        scores.append([total.get(g, -1e9) for g in sorted(set(langs))])
+                        right.append(sorted(set(langs)).index(langs[i]))
+        m = Model._fit(texts, langs)
+        m.temperature = best_temperature(np.array(scores), np.array(right, np.int64)) if scores else 1.0
+        return m
+
+    @staticmethod
+    def _fit(texts: list[str], langs: list[str]) -> Model:
         names = sorted(set(langs))
         counts = np.zeros((BUCKETS, len(names)))
         for k, name in enumerate(names):
             own = [t for t, g in zip(texts, langs) if g == name]
             # a sentence in an Indic script is also a sample of its romanised spellings
             latin = [romanise(t, long, w) for t in own for long in (False, True) for w in (False, True)]
-            own += [x for x in latin if x not in own]
+            known = set(own)
+            own += [x for x in latin if x not in known]
             words = [c for t in own for w in words_of(t) if (c := _clean(w))]
             b, _ = buckets(words)
             np.add.at(counts[:, k], b, 1.0)
@@ -129,9 +157,22 @@ def stretches(score: np.ndarray, switch: float = SWITCH) -> list[tuple[int, int,
     return [(a, b, int(path[a])) for a, b in zip(cuts, cuts[1:])]
 
 
-def confidence(total: np.ndarray, language: int) -> float:
-    """Posterior of a language under equal priors."""
-    e = np.exp(total - total.max())
+def best_temperature(scores: np.ndarray, right: np.ndarray) -> float:
+    """Divisor of the scores under which the right languages are most probable."""
+    tried = np.geomspace(0.25, 64, 65)
+    rows = np.arange(len(right))
+
+    def loss(t: float) -> float:
+        z = scores / t
+        z = z - z.max(1, keepdims=True)
+        return float((np.log(np.exp(z).sum(1)) - z[rows, right]).mean())
+
+    return float(tried[np.argmin([loss(t) for t in tried])])
+
+
+def confidence(total: np.ndarray, language: int, temperature: float = 1.0) -> float:
+    """Posterior of a language under equal priors, its evidence tempered."""
+    e = np.exp((total - total.max()) / temperature)
     return float(e[language] / e.sum())
 
 
@@ -168,7 +209,7 @@ def detect(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = dict(rows.dtypes)["key"]
 
-    def judge(score: np.ndarray, names: list[str], counts: list[bool]):
+    def judge(score: np.ndarray, names: list[str], counts: list[bool], t: float):
         total = score.sum(0)
         if not np.any(score):
             return sum(counts), None, 0.0, []
@@ -176,8 +217,8 @@ def detect(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
         out = []
         for a, b, g in stretches(score):
             own = score[a:b].sum(0)
-            out.append({"first_word": a, "end_word": b, "words": sum(counts[a:b]), "lang": names[g], "confidence": confidence(own, g)})
-        return sum(counts), names[main], confidence(total, main), out
+            out.append({"first_word": a, "end_word": b, "words": sum(counts[a:b]), "lang": names[g], "confidence": confidence(own, g, t)})
+        return sum(counts), names[main], confidence(total, main, t), out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -196,7 +237,7 @@ def detect(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
                     out.append((None, None, None, None))
                     continue
                 at = [number[w] for w in ws]
-                out.append(judge(score[at], m.languages, [solid[i] for i in at]))
+                out.append(judge(score[at], m.languages, [solid[i] for i in at], m.temperature))
             n, lang, conf, parts = zip(*out) if out else ((), (), (), ())
             kinds = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("words", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]))
             yield pa.RecordBatch.from_arrays(

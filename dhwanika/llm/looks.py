@@ -8,10 +8,16 @@ distinct stretch is normalised once, and the results are spliced into the unchan
 
 The form keeps what can be seen: case, digits' shapes, every printed sign, mark and stop.  It drops what
 prints nothing, makes any white space one blank, and fixes width, code block, make-up and mark order.
+
+There are two of it.  The form to compare by also gives letters of other alphabets, the zeros of the Indic
+scripts and the bar the sign they look like, wherever they stand.  The form to store (``stored``) does
+that only to letters inside a word that holds Latin letters too, and leaves a Russian word, a table's bars
+and a text's own zeros alone.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -22,6 +28,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import hot_keys, join_salted, materialize
+
 # Letters of other alphabets with the shape of a Latin one, fixed values by Unicode name order.
 TWINS = dict(
     zip(
@@ -30,8 +38,14 @@ TWINS = dict(
         strict=True,
     )
 )
-# Signs of one shape: hyphens, apostrophes, and the bar typed for a danda.
-TWINS |= {"‐": "-", "‑": "-", "ʼ": "’", "|": "।"}
+_LETTERS = re.compile(rf"\w*[{''.join(TWINS)}]\w*")
+_LATIN = re.compile("[A-Za-z]")
+_letter_twins = str.maketrans(TWINS)
+#: Zeros of the Indic scripts are one circle.
+ZEROS = {chr(o): "०" for o in range(0x900, 0xE00) if unicodedata.name(chr(o), "").endswith(" DIGIT ZERO")}
+#: Signs of one shape: hyphens and apostrophes; the bar typed for a danda.
+SIGNS = {"‐": "-", "‑": "-", "ʼ": "’"}
+TWINS |= ZEROS | SIGNS | {"|": "।"}
 # Vowel signs and letters that print as one when written in parts (longest parts first where nested).
 MAKE_UP = {
     "ाे": "ो", "ाै": "ौ", "ाॅ": "ॉ", "ाॆ": "ॊ",
@@ -43,8 +57,8 @@ MAKE_UP = {
 #: Compatibility decompositions whose shape is that of their parts.
 SAME_SHAPE = ("<wide>", "<narrow>", "<compat>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
 
-_fold: dict[str, str] = {}
-_table: np.ndarray | None = None
+_fold: tuple[dict[str, str], dict[str, str]] = ({}, {})
+_tables: dict[bool, np.ndarray] = {}
 STABLE, UNSTABLE, MARK = 0, 1, 2
 SEPARATOR = 0xE000  # private use: stands between texts of a batch, never part of one
 
@@ -55,9 +69,9 @@ def _ignorable(c: str) -> bool:
     return (k in ("Cf", "Cc") and not c.isspace()) or o == 0x34F or 0x180B <= o <= 0x180F or 0xFE00 <= o <= 0xFE0F or 0xE0100 <= o <= 0xE01EF or o in (0x115F, 0x1160, 0x17B4, 0x17B5)
 
 
-def _one(c: str) -> str:
+def _one(c: str, stored: bool = False) -> str:
     """A code point without its neighbours: width, block and ligature undone."""
-    if (known := _fold.get(c)) is None:
+    if (known := _fold[stored].get(c)) is None:
         known = c
         tag, *parts = unicodedata.decomposition(c).split() or [""]
         if _ignorable(c):
@@ -65,10 +79,10 @@ def _one(c: str) -> str:
         elif c.isspace():
             known = " "
         elif tag in SAME_SHAPE and parts[0] != "0020":
-            known = "".join(_one(chr(int(p, 16))) for p in parts)
+            known = "".join(_one(chr(int(p, 16)), stored) for p in parts)
         else:
-            known = TWINS.get(c, c)
-        _fold[c] = known
+            known = (SIGNS if stored else TWINS).get(c, c)
+        _fold[stored][c] = known
     return known
 
 
@@ -88,10 +102,20 @@ def _is_mark(c: str) -> bool:
     return unicodedata.category(c)[0] == "M"
 
 
-def canonical(text: str) -> str:
+def _in_latin_words(text: str) -> str:
+    """Letters of other alphabets made Latin in the words that hold Latin letters."""
+    return _LETTERS.sub(lambda m: m[0].translate(_letter_twins) if _LATIN.search(m[0]) else m[0], text)
+
+
+def canonical(text: str, stored: bool = False) -> str:
     """The form of a whole text, without the quick check (the definition of the form)."""
-    s = unicodedata.normalize("NFD", "".join(map(_one, text)))
-    s = "".join(map(_one, s))
+    return _in_latin_words(_canonical(text, True)) if stored else _canonical(text, False)
+
+
+def _canonical(text: str, stored: bool) -> str:
+    one = lambda c: _one(c, stored)
+    s = unicodedata.normalize("NFD", "".join(map(one, text)))
+    s = "".join(map(one, s))
     out: list[str] = []
     i = 0
     while i < len(s):
@@ -117,10 +141,9 @@ def canonical(text: str) -> str:
     return unicodedata.normalize("NFC", " ".join(s.split()))
 
 
-def _properties() -> np.ndarray:
+def _properties(stored: bool = False) -> np.ndarray:
     """Quick-check property of every code point."""
-    global _table
-    if _table is None:
+    if stored not in _tables:
         t = np.zeros(sys.maxunicode + 1, np.uint8)
         for o in range(sys.maxunicode + 1):
             if 0x3400 <= o < 0xA000 or 0xAC00 <= o < 0xD7A4 or 0xE000 <= o < 0xF900 or 0xD800 <= o < 0xE000 or o >= 0xF0000:
@@ -132,21 +155,21 @@ def _properties() -> np.ndarray:
                 continue
             if k[0] == "M":
                 t[o] = MARK
-            elif _one(c) != c or (o > 0x7F and unicodedata.normalize("NFC", c) != c):
+            elif _one(c, stored) != c or (o > 0x7F and unicodedata.normalize("NFC", c) != c):
                 t[o] = UNSTABLE
         t[0x20] = STABLE
-        _table = t
-    return _table
+        _tables[stored] = t
+    return _tables[stored]
 
 
-def spans(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spans(points: np.ndarray, stored: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Stretches [a, b) that may change, with the context they may combine with.
 
     ``points`` are texts divided, begun and ended by SEPARATOR.  A single mark on a sign is stable
     unless the two compose, decompose or print as another sign; two marks in a row, a mark that
     combines, and every unstable code point open a stretch.
     """
-    prop = _properties()[points]
+    prop = _properties(stored)[points]
     mark, hot = prop == MARK, prop == UNSTABLE
     after = lambda x: np.r_[False, x[:-1]]  # noqa: E731 - the same about the code point before
     indic = (points >= 0x900) & (points < 0xD80)
@@ -185,28 +208,34 @@ def _openers() -> np.ndarray:
     return _cached["o"]
 
 
-_known: dict[str, str] = {}
+_known: tuple[dict[str, str], dict[str, str]] = ({}, {})
 
 
-def looks(texts: list[str]) -> list[str]:
+def looks(texts: list[str], stored: bool = False) -> list[str]:
     """Canonical form of every text: unstable stretches normalised, the rest untouched."""
+    done = _looked(texts, stored)
+    return [_in_latin_words(t) for t in done] if stored else done
+
+
+def _looked(texts: list[str], stored: bool) -> list[str]:
     if not texts:
         return []
     sep = chr(SEPARATOR)
     if any(sep in t for t in texts):  # the separator itself is used as a sign: such texts go the plain way
-        return [canonical(t) if sep in t else looks([t])[0] for t in texts]
+        return [_canonical(t, stored) if sep in t else _looked([t], stored)[0] for t in texts]
     text = sep + sep.join(texts) + sep
-    a, b = spans(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+    a, b = spans(np.frombuffer(text.encode("utf-32-le"), np.uint32), stored)
     if not len(a):
         return list(texts)
-    if len(_known) > 1 << 18:
-        _known.clear()
+    known = _known[stored]
+    if len(known) > 1 << 18:
+        known.clear()
     out, at = [], 0
     for i, j in zip(a.tolist(), b.tolist()):
         piece = text[i:j]
-        new = _known.get(piece)
+        new = known.get(piece)
         if new is None:  # between two stops, so that blanks at the ends of a stretch stay one blank
-            new = _known[piece] = canonical(f".{piece}.")[1:-1]
+            new = known[piece] = _canonical(f".{piece}.", stored)[1:-1]
         out += (text[at:i], new)
         at = j
     out.append(text[at:])
@@ -217,7 +246,7 @@ def look(text: str) -> str:
     return looks([text])[0]
 
 
-def _looks(a: pa.Array) -> pa.Array:
+def _looks(a: pa.Array, stored: bool = False) -> pa.Array:
     """Forms of a string array, once per distinct value; nulls stay null."""
     d = a.dictionary_encode()
     values = d.dictionary.to_pylist()
@@ -228,15 +257,17 @@ def _looks(a: pa.Array) -> pa.Array:
         group.append(v)
         size += len(v)
         if size > 1 << 20:
-            out += looks(group)
+            out += looks(group, stored)
             group, size = [], 0
-    out += looks(group)
+    out += looks(group, stored)
     return pa.array(out, pa.string()).take(d.indices)
 
 
-def unify(df: DataFrame, columns: list[str]) -> DataFrame:
+def unify(df: DataFrame, columns: list[str], stored: bool = False) -> DataFrame:
     """Replace the named string columns by their canonical forms; other columns pass through.
 
+    By default it is the form to compare by; ``stored`` gives the form to store.
+
     Defined cases: null stays null; a blank text, or one of characters that print nothing, becomes
     the empty string; texts of any length are handled whole; an empty table gives no rows.  Column
     names must be unique.
@@ -244,7 +275,7 @@ def unify(df: DataFrame, columns: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [_looks(b[c].cast(pa.string())) if c in columns else b[c] for c in b.schema.names]
+            cols = [_looks(b[c].cast(pa.string()), stored) if c in columns else b[c] for c in b.schema.names]
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
     return df.mapInArrow(run, df.schema)
@@ -272,17 +303,23 @@ def same_looking_columns(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
 
 
 def same_looking_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Pairs (id_a < id_b) of rows whose texts differ in code points and look the same.
+    """Members of every form that several spellings have: (form, spellings, members, key, text).
 
-    An equi-join on the form's hash and the form.  Defined cases: null keys and null or blank texts
-    make no pair; equal texts under different keys make no pair with each other; repeated rows
-    count once; an empty table gives no rows; other columns are ignored.
+    ``spellings`` counts the form's distinct texts, ``members`` its rows; a row says to which form it
+    belongs, and no pairs are made.  Defined cases: null keys and null or blank texts belong to none;
+    a form of one spelling isn't listed, however many rows have it; repeated rows count once; an empty
+    table gives no rows; other columns are ignored.
     """
     rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).dropna().distinct()
-    forms = unify(rows.withColumn("form", F.col("text")), ["form"]).filter("form <> ''")
-    # only forms that more than one spelling has can pair
-    shared = forms.groupBy("form").agg(F.min("text").alias("x"), F.max("text").alias("y")).filter("x <> y").select("form")
-    live = forms.join(shared, "form", "left_semi")
-    left = live.select("form", F.col("id").alias("id_a"), F.col("text").alias("text_a"))
-    right = live.select("form", F.col("id").alias("id_b"), F.col("text").alias("text_b"))
-    return left.join(right, "form").filter("id_a < id_b and text_a <> text_b").select("id_a", "id_b").distinct()
+    forms = materialize(unify(rows.withColumn("form", F.col("text")), ["form"]).filter("form <> ''"), "forms").df
+    texts = forms.groupBy("form", "text").agg(F.count("*").alias("n"))
+    shared = texts.groupBy("form").agg(F.count("*").alias("spellings"), F.sum("n").alias("members")).filter("spellings > 1")
+    shared = materialize(shared, "shared").df
+    hot = hot_keys(shared, "form", "members", forms.count())
+    return join_salted(forms, shared, "form", "id", hot).select("form", "spellings", "members", F.col("id").alias(key), "text")
+
+
+def pairs_of(members: DataFrame, key: str) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: members of one form whose texts differ; as many rows as there are such pairs."""
+    a, b = (members.select("form", F.col(key).alias(f"id_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return a.join(b, "form").filter("id_a < id_b and text_a <> text_b").select("id_a", "id_b").distinct()

@@ -22,6 +22,7 @@ from ..runtime import materialize
 
 SEQUENCES = 2048
 ITEMS = 65_536
+RUN = 10_000  # copies of a document that are numbered at once
 OPENED = 0.75
 #: Relative cost of attention: at this many tokens its quadratic part equals the linear part.
 EVEN_AT = 2048
@@ -70,7 +71,8 @@ def pack(sizes: DataFrame, containers: DataFrame, key: str = "doc_id", tokens: s
 
     Defined cases: documents of size 0 (empty or null texts) take part 0 of a container and no room;
     a null or negative size counts as 0; a null key is a key like any other; repeated documents are
-    packed as often as they occur; kinds with a null capacity or one below 1 are left out; empty tables
+    packed as often as they occur; the same rows give the same containers, however they are divided
+    over files and tasks; kinds with a null capacity or one below 1 are left out; empty tables
     give no rows; other columns are ignored.
     """
     kinds = [
@@ -86,17 +88,21 @@ def pack(sizes: DataFrame, containers: DataFrame, key: str = "doc_id", tokens: s
     whole = F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0)).alias("whole")
     # number of parts: full containers and a rest; an empty document is one empty part
     parts = F.greatest(F.ceil(F.col("whole") / F.col("capacity")), F.lit(1)).cast("long")
-    items = (
-        sizes.select(F.col(key).alias("key"), whole)
-        .withColumn("nth", F.monotonically_increasing_id())
-        .select("key", "whole", "nth", F.explode(listed).alias("k"))
-        .select("key", "whole", "nth", "k.container_kind", "k.capacity")
+    # copies of a document are numbered, so that nothing hangs on the order of the rows
+    copies = materialize(sizes.select(F.col(key).alias("key"), whole).groupBy("key", "whole").agg(F.count("*").alias("copies")), "sizes").df
+    most = copies.agg(F.max("copies")).first()[0] or 0
+    runs = copies.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / RUN))))
+    if most > RUN:  # of a document that fills the table, many tasks number the copies
+        runs = runs.repartition("key", "run")
+    numbered = runs.select("key", "whole", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("copies")) - 1)).alias("copy"))
+    held = (
+        numbered.select("key", "whole", "copy", F.explode(listed).alias("k"))
+        .select("key", "whole", "copy", "k.container_kind", "k.capacity")
         .select("*", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
         .withColumn("first_token", F.col("part") * F.col("capacity"))
         .withColumn("tokens", F.least(F.col("capacity"), F.col("whole") - F.col("first_token")))
         .drop("whole")
     )
-    held = materialize(items, "items").df
     load = held.groupBy("container_kind", "capacity").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()
     shards = [
         F.struct(
@@ -109,12 +115,12 @@ def pack(sizes: DataFrame, containers: DataFrame, key: str = "doc_id", tokens: s
     n = F.lit(1)
     for s in shards:
         n = F.when(F.col("container_kind").eqNullSafe(s["container_kind"]) & (F.col("capacity") == s["capacity"]), s["n"]).otherwise(n)
-    placed = held.withColumn("shard", F.pmod(F.xxhash64("nth", "part"), n).cast("long"))
+    placed = held.withColumn("shard", F.pmod(F.xxhash64("key", "copy", "part"), n).cast("long"))
     types = dict(placed.dtypes)
     schema = f"container_kind {types['container_kind']}, capacity long, container_id long, key {types['key']}, part long, first_token long, tokens long"
 
     def fill(t: pa.Table) -> pa.Table:
-        order = pa.compute.sort_indices(t, sort_keys=[("tokens", "descending"), ("nth", "ascending"), ("part", "ascending")])
+        order = pa.compute.sort_indices(t, sort_keys=[("tokens", "descending"), ("key", "ascending"), ("copy", "ascending"), ("part", "ascending")])
         t = t.take(order)
         at = assign(t["tokens"].to_numpy(), t["capacity"][0].as_py())
         ids = pa.array((t["shard"].to_numpy() << 32) + at, pa.int64())

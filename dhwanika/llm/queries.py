@@ -11,7 +11,7 @@ from .components import group_terms
 from .encoding import encode, token_counts
 from .frequencies import bg_rows, counts_of, hyp_records, mark_terms
 from .languages import detect, fit, mislabelled
-from .looks import same_looking_columns, same_looking_rows, unify
+from .looks import pairs_of, same_looking_columns, same_looking_rows, unify
 from .packing import pack
 from .sql import SQL  # noqa: F401
 from .texts import usable
@@ -85,7 +85,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "aligned").filter(usable("ref") & usable("hyp"))
     both = same_looking_columns(rows, "utt_id", "ref", "hyp")
-    words = same_looking_rows(table(spark, sf_dir, "lexicon"), "lex_id", "word")
+    words = pairs_of(same_looking_rows(table(spark, sf_dir, "lexicon"), "lex_id", "word"), "lex_id")  # the result is pairs
     return both.select(F.lit("aligned").alias("tab"), F.col("utt_id").alias("id_a"), F.col("utt_id").alias("id_b")).unionByName(
         words.select(F.lit("lexicon").alias("tab"), "id_a", "id_b")
     )

@@ -31,6 +31,30 @@ def test_held_out_accuracy(samples):
     assert right / len(rows) > 0.97
 
 
+def test_confidence_is_the_share_that_is_right(samples):
+    """On beginnings of sentences of a fifth that neither the counts nor the temperature have seen."""
+    from dhwanika.llm.languages import confidence
+    from dhwanika.llm.looks import looks
+
+    rows = samples.orderBy("sample_id").collect()
+    said, right = [], []
+    for part in range(5):
+        seen = [r for i, r in enumerate(rows) if i % 5 != part]
+        m = Model.fit(looks([r["text"] for r in seen]), [r["lang"] for r in seen])
+        assert m.temperature > 1
+        for r in (r for i, r in enumerate(rows) if i % 5 == part):
+            s = m.word_scores(looks([r["text"]])[0].lower().split())
+            for n in (1, 2, 3):
+                total = s[:n].sum(0)
+                best = int(total.argmax())
+                said.append(confidence(total, best, m.temperature))
+                right.append(m.languages[best] == r["lang"])
+    said, right = np.array(said), np.array(right)
+    assert abs(said.mean() - right.mean()) < 0.05
+    bands = [(said >= low) & (said < low + 0.1) for low in np.arange(0, 1.1, 0.1)]
+    assert sum(abs(said[b].mean() - right[b].mean()) * b.sum() for b in bands if b.any()) / len(said) < 0.05  # expected calibration error
+
+
 def test_mixed_text(spark, model):
     text = "मुझे मंडी में चना का भाव अच्छा मिला था। Please tell us how many days to wait before we feed the wheat."
     df = spark.createDataFrame([(1, text)], "k long, t string")

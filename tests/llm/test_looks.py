@@ -3,12 +3,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from dhwanika.llm.looks import canonical, look, looks, same_looking_columns, same_looking_rows, unify
+from dhwanika.llm.looks import canonical, look, looks, pairs_of, same_looking_columns, same_looking_rows, unify
 
 SIGNS = list("aеxХ| \t।-‐‍​­ािेैोौअआएओ़्ंकजరఒౕైଅାୌ́éｆﬁ가ﾞカ…²Ạ̊") + ["  ", " ", "\n"]
 SAME = [
     ("को", "काे"), ("आम", "अाम"), ("औ", "अौ"), ("ज़ा", "जा़"), ("क़", "क़"), ("oil", "оil"), ("ｏｉｌ", "oil"), ("a b", " a  b "),
-    ("क‍ा", "का"), ("ﬁeld", "field"), ("है।", "है|"), ("a‐b", "a-b"), ("ఓ", "ఒౕ"), ("ଆ", "ଅା"), ("é", "é"), ("ab", "a⁠b﻿"),
+    ("क‍ा", "का"), ("ﬁeld", "field"), ("है।", "है|"), ("a‐b", "a-b"), ("ఓ", "ఒౕ"), ("ଆ", "ଅା"), ("é", "é"), ("ab", "a⁠b﻿"), ("१०", "१౦"), ("౨౦", "౨୦"),
 ]
 OTHER = [("है।", "है"), ("the", "THE"), ("5", "५"), ("ज", "ज़"), ("2", "²"), ("a b", "ab"), ("क", "ख"), (".", "।"), ("पाँच", "पांच"), ("1", "①")]
 
@@ -28,6 +28,16 @@ def test_other_look(a, b):
 def test_quick_check_agrees_with_the_definition(texts):
     assert looks(texts) == [canonical(t) for t in texts]
     assert looks(looks(texts)) == looks(texts)
+    assert looks(texts, stored=True) == [canonical(t, stored=True) for t in texts]
+    # what is stored looks as before
+    assert looks(looks(texts, stored=True)) == looks(texts)
+
+
+def test_form_to_store():
+    """Tables, Russian and a text's own zeros stay; letters that are out of place in a Latin word don't."""
+    for t in ("a | b", "Москва", "౧౦", "Хорошо, ok"):
+        assert looks([t], stored=True) == [t]
+    assert looks(["оil ｗｅｌｌ", "काे", "field⁠ﬁ"], stored=True) == ["oil well", "को", "fieldfi"]
 
 
 @settings(max_examples=200, deadline=None)
@@ -47,7 +57,9 @@ def test_columns_and_rows(spark, rows):
     wide = df.select("*", *[F.lit(0).alias(c) for c in ("id", "a", "b", "form", "text", "id_a")])
     assert rows(same_looking_columns(wide, "k", "ref", "hyp")) == [(1,), (5,)]
     words = spark.createDataFrame([(3, "को"), (1, "काे"), (2, "को"), (4, None), (5, " "), (6, "​")], "k long, w string")
-    assert rows(same_looking_rows(words.withColumn("id_b", F.lit(1)), "k", "w")) == [(1, 2), (1, 3)]
+    members = same_looking_rows(words.withColumn("id_b", F.lit(1)).withColumn("form", F.lit(1)), "k", "w")
+    assert rows(members.select("form", "spellings", "members", "k")) == [("को", 2, 3, 1), ("को", 2, 3, 2), ("को", 2, 3, 3)]
+    assert rows(pairs_of(members, "k")) == [(1, 2), (1, 3)]
     assert same_looking_rows(words.filter("false"), "k", "w").count() == 0
     assert same_looking_columns(df.filter("false"), "k", "ref", "hyp").count() == 0
     assert rows(unify(words, ["w"]).filter("k in (4, 5)")) == [(4, None), (5, "")]

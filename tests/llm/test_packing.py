@@ -63,6 +63,15 @@ def test_every_token_once(spark, monkeypatch, sequences):
         assert split == {k for k, n in sizes if (n or 0) > capacity}
 
 
+def test_same_containers_for_any_partitions(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SEQUENCES", 8)
+    monkeypatch.setattr(packing, "RUN", 7)
+    kinds = spark.createDataFrame(KINDS, "container_kind string, capacity int")
+    df = spark.createDataFrame([(i % 90, 1 + (i % 90) * 5 % 11) for i in range(120)] + [(1000, 4)] * 60, "doc_id long, tokens long")
+    a, b = (Counter(map(tuple, packing.pack(df.repartition(k), kinds).collect())) for k in (1, 5))
+    assert a == b and sum(a.values()) >= 2 * 180
+
+
 def test_empty(spark):
     kinds = spark.createDataFrame(KINDS, "container_kind string, capacity int")
     sizes = spark.createDataFrame([(1, 5)], "doc_id long, tokens long")
