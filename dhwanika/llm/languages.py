@@ -33,7 +33,7 @@ ALIASES = {
 SMOOTHING = 0.05
 SWITCH = 20.0  # nats a change of language costs, against word scores averaged over the n-gram orders
 STRETCH = 4  # words that make a stretch
-FOLDS = 5
+FOLDS = 3
 
 
 def words_of(text: str) -> list[str]:
