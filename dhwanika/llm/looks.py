@@ -59,7 +59,7 @@ SAME_SHAPE = ("<wide>", "<narrow>", "<compat>", "<noBreak>", "<font>", "<initial
 
 _fold: tuple[dict[str, str], dict[str, str]] = ({}, {})
 _tables: dict[bool, np.ndarray] = {}
-STABLE, UNSTABLE, MARK = 0, 1, 2
+STABLE, UNSTABLE, MARK, COMBINES, OPENS, BLANK, BORDER = 0, 1, 2, 4, 8, 16, 32
 SEPARATOR = 0xE000  # private use: stands between texts of a batch, never part of one
 
 
@@ -154,10 +154,14 @@ def _properties(stored: bool = False) -> np.ndarray:
             if k == "Cn":
                 continue
             if k[0] == "M":
-                t[o] = MARK
+                # nukta and non-Indic marks may compose or decompose with the sign before them
+                t[o] = MARK if 0x900 <= o < 0xD80 else MARK | COMBINES
             elif _one(c, stored) != c or (o > 0x7F and unicodedata.normalize("NFC", c) != c):
                 t[o] = UNSTABLE
-        t[0x20] = STABLE
+        t[0x20] = BLANK
+        t[SEPARATOR] = BORDER
+        t[_combining()] |= COMBINES
+        t[_openers()] |= OPENS
         _tables[stored] = t
     return _tables[stored]
 
@@ -170,14 +174,13 @@ def spans(points: np.ndarray, stored: bool = False) -> tuple[np.ndarray, np.ndar
     combines, and every unstable code point open a stretch.
     """
     prop = _properties(stored)[points]
-    mark, hot = prop == MARK, prop == UNSTABLE
+    mark, blank, border = (prop & MARK).astype(bool), (prop & BLANK).astype(bool), (prop & BORDER).astype(bool)
     after = lambda x: np.r_[False, x[:-1]]  # noqa: E731 - the same about the code point before
-    indic = (points >= 0x900) & (points < 0xD80)
-    # nukta and non-Indic marks may compose or decompose with the sign before them; some letters have parts
-    hot |= mark & (after(mark) | ~indic | np.isin(points, _combining()) | after(np.isin(points, _openers())))
+    hot = (prop & UNSTABLE).astype(bool)
+    # some letters have parts
+    hot |= mark & ((prop & COMBINES).astype(bool) | after((prop & (MARK | OPENS)).astype(bool)))
     # single inner blanks are stable; blanks in a row and at a text's ends are not
-    blank, border = points == 0x20, points == SEPARATOR
-    hot |= blank & (after(blank) | after(border) | np.r_[border[1:], False])
+    hot |= blank & (after(blank | border) | np.r_[border[1:], False])
     if not hot.any():
         return np.empty(0, np.intp), np.empty(0, np.intp)
     soft = mark | hot | blank
