@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StructType
 
 from ..operators import speakers as V
 from ..runtime import table
@@ -64,15 +68,22 @@ QUERIES["robust_pick"] = lambda spark, d: V.robust_pick(turns(spark, d), _clips(
 SQL["robust_pick"] = f"WITH {TURNS}, {SPOKEN}, {PICKS} SELECT clip_id, speaker, duration, round(rms, 6) AS rms FROM picks"
 
 
+@arrow_udf(StructType().add("samples", "integer").add("total", "double").add("first", "double").add("last", "double"))
+def _summary(audio: pa.Array) -> pa.Array:
+    out = []
+    for x in audio:
+        a = np.zeros(0) if x.values is None else x.values.to_numpy(zero_copy_only=False).astype(float)
+        out.append({"samples": len(a), "total": float(a.sum()), "first": float(a[0]) if len(a) else 0.0, "last": float(a[-1]) if len(a) else 0.0})
+    return pa.array(out, pa.struct([("samples", pa.int32()), ("total", pa.float64()), ("first", pa.float64()), ("last", pa.float64())]))
+
+
 def _described(df: DataFrame) -> DataFrame:
     """Audio as its length, sum and first and last sample: arrays don't compare across engines."""
-    audio = F.coalesce("audio", F.lit([]).cast("array<float>"))
-    total = F.aggregate(audio, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    sample = lambda i: F.coalesce(F.try_element_at(audio, F.lit(i)).cast("double"), F.lit(0.0)) + 0.0  # noqa: E731 - no negative zero
-    return df.select(
-        "clip_id", "speaker", F.size(audio).alias("samples"), (F.round(total, 4) + 0.0).alias("total"),
-        F.round(sample(1), 6).alias("first_sample"), F.round(sample(-1), 6).alias("last_sample"),
-    )
+    rows = df.select("clip_id", "speaker", _summary(F.col("audio")).alias("x"))
+    plain = lambda c, n: F.round(F.col(f"x.{c}"), n) + 0.0  # noqa: E731 - no negative zero
+    return rows.select(
+        "clip_id", "speaker", "x.samples", plain("total", 4).alias("total"), plain("first", 6).alias("first_sample"), plain("last", 6).alias("last_sample")
+    )
 
 
 DESCRIBED = """SELECT clip_id, speaker, CAST(coalesce(len(audio), 0) AS INTEGER) AS samples,
