@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 SHARD_BITS = 20
 LOW = np.iinfo(np.int64).min
+RUNS_HELD = 1 << 16  # runs of an open group that wait before they are united
 
 
 def unite(group: np.ndarray, start: np.ndarray, end: np.ndarray, multi: np.ndarray):
@@ -102,23 +103,36 @@ def _containers(clip, words, code, shard, s, e, multi) -> pa.RecordBatch:
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Unite containers that arrive sorted by (entity, speaker, shard); a group may cross batches."""
-    held: pa.Table | None = None
+    """Unite containers that arrive sorted by (entity, speaker, shard); a group may cross batches.
+
+    Of the group that is still open its containers are kept, united again whenever they have doubled, so
+    many containers of one group take time in proportion.
+    """
+    held: list[pa.RecordBatch] = []
+    key, waiting, united = None, 0, 0
     for b in batches:
-        t = pa.Table.from_batches([b])
-        held = t if held is None else pa.concat_tables([held, t])
-        keys = held.select(["entity", "speaker", "shard"])
-        last = keys.slice(held.num_rows - 1)
+        if not b.num_rows:
+            continue
+        of = lambda k: tuple(b[c][k].as_py() for c in ("entity", "speaker", "shard"))  # noqa: B023, E731
+        if held and of(0) != key:
+            yield _merge(pa.Table.from_batches(held))
+            held, waiting, united = [], 0, 0
+        key = of(b.num_rows - 1)
         same = None
-        for k in keys.column_names:
-            x = pc.equal(keys[k], last[k][0])
+        for c, v in zip(("entity", "speaker", "shard"), key):
+            x = pc.equal(b[c], pa.scalar(v, b[c].type))
             same = x if same is None else pc.and_(same, x)
-        done = held.num_rows - int(pc.sum(same).as_py() or 0)
-        if done:
-            yield _merge(held.slice(0, done))
-            held = held.slice(done)
-    if held is not None and held.num_rows:
-        yield _merge(held)
+        done = b.num_rows - int(pc.sum(same).as_py() or 0)
+        if done:  # the rows before the last group, and what is held of their first one
+            yield _merge(pa.Table.from_batches([*held, b.slice(0, done)]))
+            held, waiting, united = [], 0, 0
+        held.append(b.slice(done))
+        waiting += len(held[-1]["starts"].flatten())
+        if waiting > max(2 * united, RUNS_HELD):
+            held = [_merge(pa.Table.from_batches(held))]
+            waiting = united = len(held[0]["starts"].flatten())
+    if held:
+        yield _merge(pa.Table.from_batches(held))
 
 
 def _merge(t: pa.Table) -> pa.RecordBatch:

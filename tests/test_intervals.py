@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from dhwanika.operators import intervals
 from dhwanika.operators.intervals import periods_and_gaps
 
 SCHEMA = "clip_id long, speaker string, start double, end double"
@@ -75,3 +76,20 @@ def test_own_column_names(spark):
     df = spark.createDataFrame([("x", 1, 0.0, 1.0), ("x", 1, 0.5, 2.0)], "who string, room long, t0 double, t1 double")
     out = periods_and_gaps(df, entity="room", speaker="who", start="t0", end="t1")
     assert out.columns == ["room", "who", "kind", "start_ms", "end_ms"] and out.first()["end_ms"] == 2000
+
+
+@pytest.mark.parametrize("waiting", [0, 3, 1 << 16])
+def test_groups_that_cross_batches(monkeypatch, waiting):
+    """Containers of two groups in batches of two: the same union however often the open group is united."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(intervals, "RUNS_HELD", waiting)
+    rows = [(1, "a", 0, [i * 10], [i * 10 + 12]) for i in range(5)] + [(1, "b", 0, [i * 10], [i * 10 + 5]) for i in range(6)] + [(2, "a", 3, [7], [9])]
+    columns = [list(x) for x in zip(*rows)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.list_(pa.int64())), pa.array(columns[4], pa.list_(pa.int64())), pa.array([[False]] * len(rows), pa.list_(pa.bool_()))],
+        names=["entity", "speaker", "shard", "starts", "ends", "multi"],
+    )
+    out = [r for size in (2, 5) for b in intervals._united(batch.slice(k, size) for k in range(0, len(rows), size)) for r in b.to_pylist()]
+    want = [((1, "a", 0), [0], [52]), ((1, "b", 0), [i * 10 for i in range(6)], [i * 10 + 5 for i in range(6)]), ((2, "a", 3), [7], [9])]
+    assert [((r["entity"], r["speaker"], r["shard"]), r["starts"], r["ends"]) for r in out] == want * 2
