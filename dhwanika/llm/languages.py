@@ -136,25 +136,49 @@ class Model:
         return out
 
 
+CELLS = 1 << 21  # word scores of texts, padded to one length, that go side by side
+
+
+def paths(score: np.ndarray, size: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """Language of every word on the most probable path of each text; the texts' words stand one after the other.
+
+    Texts of like length go side by side through the recursion.
+    """
+    k = score.shape[1]
+    begin = np.cumsum(size) - size
+    out = np.zeros(len(score), np.int64)
+    order = np.argsort(size, kind="stable")
+    at = int((size == 0).sum())
+    while at < len(order):
+        n = 1
+        while at + n < len(order) and (n + 1) * size[order[at + n]] * k <= CELLS:
+            n += 1
+        own = order[at : at + n]
+        at += n
+        length, first = size[own], begin[own]
+        widest, rows = int(length.max()), np.arange(n)
+        best = score[first].astype(float)
+        back = np.zeros((widest, n, k), np.int8 if k < 128 else np.int32)
+        for i in range(1, widest):
+            live = np.flatnonzero(length > i)
+            b = best[live]
+            top = b.argmax(1)
+            change = b[np.arange(len(live)), top] - switch
+            back[i, live] = np.where(b >= change[:, None], np.arange(k), top[:, None])
+            best[live] = np.maximum(b, change[:, None]) + score[first[live] + i]
+        here = best.argmax(1)
+        for i in range(widest - 1, -1, -1):
+            live = length > i
+            out[first[live] + i] = here[live]
+            here = np.where(live, back[i, rows, here], here)
+    return out
+
+
 def stretches(score: np.ndarray, switch: float = SWITCH) -> list[tuple[int, int, int]]:
     """Most probable (first word, end, language) stretches of a text, from its words' scores."""
-    n, k = score.shape
-    if n == 0:
-        return []
-    total = score.sum(0)
-    best = score[0].astype(float)
-    back = np.zeros((n, k), np.int64)
-    for i in range(1, n):
-        top = int(best.argmax())
-        change = best[top] - switch
-        back[i] = np.where(best >= change, np.arange(k), top)
-        best = np.maximum(best, change) + score[i]
-    path = np.empty(n, np.int64)
-    path[-1] = best.argmax() if n > 1 else total.argmax()
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
-    cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), n]
-    return [(a, b, int(path[a])) for a, b in zip(cuts, cuts[1:])]
+    path = paths(score, np.array([len(score)]), switch)
+    cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
+    return [(a, b, int(path[a])) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
 def best_temperature(scores: np.ndarray, right: np.ndarray) -> float:
@@ -170,10 +194,10 @@ def best_temperature(scores: np.ndarray, right: np.ndarray) -> float:
     return float(tried[np.argmin([loss(t) for t in tried])])
 
 
-def confidence(total: np.ndarray, language: int, temperature: float = 1.0) -> float:
-    """Posterior of a language under equal priors, its evidence tempered."""
-    e = np.exp((total - total.max()) / temperature)
-    return float(e[language] / e.sum())
+def confidence(total: np.ndarray, language: np.ndarray, temperature: float = 1.0) -> np.ndarray:
+    """Posterior of a language under equal priors, its evidence tempered, for every row of scores."""
+    e = np.exp((total - total.max(-1, keepdims=True)) / temperature)
+    return np.take_along_axis(e, np.asarray(language)[..., None], -1)[..., 0] / e.sum(-1)
 
 
 def fit(samples: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = 20_000) -> Model:
@@ -209,41 +233,44 @@ def detect(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = dict(rows.dtypes)["key"]
 
-    def judge(score: np.ndarray, names: list[str], counts: list[bool], t: float):
-        total = score.sum(0)
-        if not np.any(score):
-            return sum(counts), None, 0.0, []
-        main = int(total.argmax())
-        out = []
-        for a, b, g in stretches(score):
-            own = score[a:b].sum(0)
-            out.append({"first_word": a, "end_word": b, "words": sum(counts[a:b]), "lang": names[g], "confidence": confidence(own, g, t)})
-        return sum(counts), names[main], confidence(total, main, t), out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        names = pa.array(m.languages, pa.string())
         for b in batches:
             raw = b["text"].to_pylist()
             split = [words_of(t) for t in looks([t or "" for t in raw])]
             number: dict[str, int] = {}
-            for ws in split:
-                for w in ws:
-                    number.setdefault(w, len(number))
-            score = m.word_scores(list(number))
-            solid = [any(c.isalnum() for c in w) for w in number]
-            out = []
-            for t, ws in zip(raw, split):
-                if t is None:
-                    out.append((None, None, None, None))
-                    continue
-                at = [number[w] for w in ws]
-                out.append(judge(score[at], m.languages, [solid[i] for i in at], m.temperature))
-            n, lang, conf, parts = zip(*out) if out else ((), (), (), ())
-            kinds = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("words", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]))
-            yield pa.RecordBatch.from_arrays(
-                [b["key"], pa.array(n, pa.int32()), pa.array(lang, pa.string()), pa.array(conf, pa.float64()), pa.array(parts, kinds)],
-                names=["key", "words", "lang", "confidence", "stretches"],
-            )
+            said = np.array([number.setdefault(w, len(number)) for ws in split for w in ws], np.int64)
+            score = m.word_scores(list(number)).astype(float)[said]
+            solid = np.array([any(c.isalnum() for c in w) for w in number], bool)[said]
+            size = np.array([len(ws) for ws in split], np.int64)
+            n, text = len(split), np.repeat(np.arange(len(split)), size)
+            total = np.stack([np.bincount(text, score[:, g], n) for g in range(score.shape[1])], 1) if n else np.zeros((0, len(m.languages)))
+            told = np.bincount(text, score.any(1), n) > 0
+            main = total.argmax(1)
+            sure = np.where(told, confidence(total, main, m.temperature), 0.0)
+            # stretches of all texts, one after the other
+            path = paths(score, size)
+            cut = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (text[1:] != text[:-1])] & told[text]) if len(path) else np.empty(0, np.int64)
+            begin = np.cumsum(size) - size
+            own = text[cut]
+            end = np.minimum(np.r_[cut[1:], len(path)][: len(cut)], begin[own] + size[own])
+            runs = np.cumsum(np.bincount(cut, minlength=len(path) + 1)[:-1]) - 1 if len(cut) else np.empty(0, np.int64)
+            within = told[text] if len(cut) else np.zeros(len(text), bool)
+            sums = np.stack([np.bincount(runs[within], score[within, g], len(cut)) for g in range(score.shape[1])], 1) if len(cut) else np.zeros((0, len(m.languages)))
+            held = np.bincount(runs[within], solid[within], len(cut)) if len(cut) else np.zeros(0)
+            parts = pa.StructArray.from_arrays(
+                [
+                    pa.array(cut - begin[own], pa.int32()), pa.array(end - begin[own], pa.int32()), pa.array(held.astype(np.int32)),
+                    names.take(pa.array(path[cut])), pa.array(confidence(sums, path[cut], m.temperature), pa.float64()),
+                ],
+                names=["first_word", "end_word", "words", "lang", "confidence"],
+            )
+            null = np.array([t is None for t in raw], bool)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(n + 1)), pa.int32()), parts, mask=pa.array(null))
+            words = pa.array(np.bincount(text, solid, n).astype(np.int32), mask=null)
+            langs = names.take(pa.array(main, mask=null | ~told))
+            yield pa.RecordBatch.from_arrays([b["key"], words, langs, pa.array(sure, mask=null), lists], names=["key", "words", "lang", "confidence", "stretches"])
 
     schema = f"key {kind}, words int, lang string, confidence double, stretches {STRETCHES}"
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)

@@ -47,7 +47,7 @@ def test_confidence_is_the_share_that_is_right(samples):
             for n in (1, 2, 3):
                 total = s[:n].sum(0)
                 best = int(total.argmax())
-                said.append(confidence(total, best, m.temperature))
+                said.append(float(confidence(total, best, m.temperature)))
                 right.append(m.languages[best] == r["lang"])
     said, right = np.array(said), np.array(right)
     assert abs(said.mean() - right.mean()) < 0.05
