@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.phonetics import norm_word, pdist, phon_of, similarity
+from ..functions.phonetics import CONSONANTS, SIGNS, VIRAMA, VOWELS, norm_word, pdist, phon_of, similarity
 from ..runtime import materialize
 
 MIN_SIM, LEN_GATE = 0.84, 3
@@ -108,29 +108,41 @@ def match(df: DataFrame, token: str, vocabulary: DataFrame, min_sim: float = MIN
     return match_exact(tokens, vocabulary).unionByName(match_fuzzy(tokens, vocabulary, min_sim, len_gate))
 
 
+def least_phonemes(word: Column) -> Column:
+    """A lower bound of the length of a word's phoneme string, by its consonants that no virama mutes.
+
+    Each of them stands between vowels, so that no two fall together; a consonant at the end has no vowel, and two
+    phonemes may be dropped there.
+    """
+    letters = "".join(x for g in (CONSONANTS, VOWELS, SIGNS) for x in g.values())
+    heard = f"[{''.join(CONSONANTS.values())}](?![^{letters}]*{VIRAMA})"
+    return 2 * F.regexp_count(word, F.lit(heard)) - 3
+
+
 def correct_windows(df: DataFrame, key: str, tokens: str, vocabulary: DataFrame, min_sim: float = MIN_SIM, len_gate: int = LEN_GATE) -> DataFrame:
     """Proposals over windows of three, two and one tokens, longest first, left to right.
 
     ``df[tokens]`` is an array of strings and ``df[key]`` unique.  Returns (key, nth, i, span, text,
     surface, sim, collision); a window whose match is its own spelling leaves its tokens free.
     """
-    n = F.size(tokens)
-    spans = F.filter(F.array(F.lit(3), F.lit(2), F.lit(1)), lambda s: s <= F.size(tokens))
+    lines = materialize(
+        df.select(F.col(key).alias("key"), F.col(tokens).alias("tokens")).filter(F.size("tokens") > 0).withColumn("id", F.monotonically_increasing_id()), "lines"
+    ).df
+    vocabulary = materialize(vocabulary, "vocabulary").df
+    longest = vocabulary.agg(F.max("len")).first()[0] or 0
+    spans = F.filter(F.array(F.lit(3), F.lit(2), F.lit(1)), lambda s: s <= F.size("tokens"))
     windows = (
-        df.select(F.col(key).alias("key"), F.col(tokens).alias("tokens")).filter(F.size("tokens") > 0)
-        .withColumnRenamed("tokens", tokens)
-        .select("key", tokens, F.explode(spans).alias("span"))
-        .select("key", tokens, "span", F.explode(F.sequence(F.lit(0), n - F.col("span"))).alias("i"))
-        .withColumn("own", F.slice(tokens, F.col("i") + 1, F.col("span")))
-        .select("key", "span", "i", F.array_join("own", "").alias("joined"), F.array_join("own", " ").alias("text"))
-    )
+        lines.select("id", "tokens", F.explode(spans).alias("span"))
+        .select("id", "tokens", "span", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("span"))).alias("i"))
+        .select("id", "span", "i", F.array_join(F.slice("tokens", F.col("i") + 1, F.col("span")), "").alias("joined"))
+        .filter(least_phonemes(F.col("joined")) <= longest + len_gate)
+    )
     found = match(windows, "joined", vocabulary, min_sim, len_gate).withColumnRenamed("token", "joined")
     hits = windows.join(found, "joined").filter(F.col("surface") != norm_word(F.col("joined")))
-    every = hits.groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("span")).alias("o"), "i", "span", "text", "surface", "sim", "collision"))).alias("all")
-    )
+    every = hits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("span")).alias("o"), "i", "span", "surface", "sim", "collision"))).alias("all"))
     clear = lambda kept, w: ~F.exists(kept, lambda k: (k["i"] < w["i"] + w["span"]) & (w["i"] < k["i"] + k["span"]))
     kept = F.aggregate("all", F.slice("all", 1, 0), lambda kept, w: F.when(clear(kept, w), F.concat(kept, F.array(w))).otherwise(kept))
-    return every.select("key", F.posexplode(kept).alias("nth", "w")).select(
-        F.col("key").alias(key), "nth", "w.i", "w.span", "w.text", "w.surface", "w.sim", "w.collision"
+    text = F.array_join(F.slice("tokens", F.col("w.i") + 1, F.col("w.span")), " ").alias("text")
+    return every.select("id", F.posexplode(kept).alias("nth", "w")).join(lines, "id").select(
+        F.col("key").alias(key), "nth", "w.i", "w.span", text, "w.surface", "w.sim", "w.collision"
     )

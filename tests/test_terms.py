@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from dhwanika.functions.phonetics import norm_word
+from dhwanika.functions.phonetics import norm_word, phon
 from dhwanika.operators import correction as C
 from dhwanika.operators import matching as M
 
@@ -189,6 +189,16 @@ def test_empty(spark):
     assert C.tokens(F.lit("x")) is not None
 
 
+def test_bound_of_phonemes(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("कखगहनज़ाि्ंः. -\u200dअइaय") for _ in range(rng.randrange(12))) for _ in range(4000)]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    rows = df.select("w", M.least_phonemes(F.col("w")).alias("least"), F.length(phon(F.col("w"))).alias("n")).collect()
+    assert not [r for r in rows if r["least"] > r["n"]]
+
+
 def test_windows_over_every_hypothesis(spark, data):
     """The query against a greedy scan of all hypotheses, sentences as well as single terms."""
     from dhwanika.plans import terms as Q
