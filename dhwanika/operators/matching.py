@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.phonetics import CONSONANTS, SIGNS, VIRAMA, VOWELS, norm_word, pdist, phon_of, similarity
-from ..runtime import materialize
+from ..runtime import materialize, shuffle_partitions
 
 MIN_SIM, LEN_GATE = 0.84, 3
+FEW_FOUND = 100_000  # distinct windows that are broadcast, some 20 MB; more are joined by a shuffle
 CHEAPEST = 0.4  # cost of the cheapest edit: bounds the number of edits from the distance
 
 
@@ -125,9 +126,9 @@ def correct_windows(df: DataFrame, key: str, tokens: str, vocabulary: DataFrame,
     ``df[tokens]`` is an array of strings and ``df[key]`` unique.  Returns (key, nth, i, span, text,
     surface, sim, collision); a window whose match is its own spelling leaves its tokens free.
     """
-    lines = materialize(
-        df.select(F.col(key).alias("key"), F.col(tokens).alias("tokens")).filter(F.size("tokens") > 0).withColumn("id", F.monotonically_increasing_id()), "lines"
-    ).df
+    rows = df.select(F.col(key).alias("key"), F.col(tokens).alias("tokens")).filter(F.size("tokens") > 0)
+    # few bytes make many windows, so the rows go to all cores, however small they are
+    lines = materialize(rows.repartition(shuffle_partitions(df.sparkSession)).withColumn("id", F.monotonically_increasing_id()), "lines").df
     vocabulary = materialize(vocabulary, "vocabulary").df
     longest = vocabulary.agg(F.max("len")).first()[0] or 0
     spans = F.filter(F.array(F.lit(3), F.lit(2), F.lit(1)), lambda s: s <= F.size("tokens"))
@@ -135,10 +136,13 @@ def correct_windows(df: DataFrame, key: str, tokens: str, vocabulary: DataFrame,
         lines.select("id", "tokens", F.explode(spans).alias("span"))
         .select("id", "tokens", "span", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("span"))).alias("i"))
         .select("id", "span", "i", F.array_join(F.slice("tokens", F.col("i") + 1, F.col("span")), "").alias("joined"))
-        .filter(least_phonemes(F.col("joined")) <= longest + len_gate)
     )
-    found = match(windows, "joined", vocabulary, min_sim, len_gate).withColumnRenamed("token", "joined")
-    hits = windows.join(found, "joined").filter(F.col("surface") != norm_word(F.col("joined")))
+    near = windows.filter(least_phonemes(F.col("joined")) <= longest + len_gate)
+    found = match(near, "joined", vocabulary, min_sim, len_gate).withColumnRenamed("token", "joined")
+    found = materialize(found.filter(F.col("surface") != norm_word(F.col("joined"))), "found").df
+    # few windows match: their number decides whether the others have to be shuffled to meet them
+    small = found.limit(FEW_FOUND + 1).count() <= FEW_FOUND
+    hits = windows.join(F.broadcast(found) if small else found, "joined")
     every = hits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("span")).alias("o"), "i", "span", "surface", "sim", "collision"))).alias("all"))
     clear = lambda kept, w: ~F.exists(kept, lambda k: (k["i"] < w["i"] + w["span"]) & (w["i"] < k["i"] + k["span"]))
     kept = F.aggregate("all", F.slice("all", 1, 0), lambda kept, w: F.when(clear(kept, w), F.concat(kept, F.array(w))).otherwise(kept))
