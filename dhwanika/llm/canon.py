@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import hot_keys, join_salted, materialize, shuffle_partitions, strip
+from ..runtime import HOT_ROWS, hot_keys, join_salted, materialize, shuffle_partitions, strip
 from .looks import look, looks
 from .romanise import romanise
 
@@ -343,7 +343,8 @@ def canonicalise(df: DataFrame, key_col: str, value: str, entries: DataFrame, fo
     spark = df.sparkSession
     rows = df.select(F.col(key_col).alias("key"), F.col(value).cast("string").alias("value"))
     distinct = rows.filter("value is not null").groupBy("value").agg(F.count("*").alias("n"))
-    values = materialize(distinct.mapInArrow(_held, "value string, n long, number string, bare string, looked string").withColumn("id", F.monotonically_increasing_id()), "values")
+    spread = distinct.repartition(shuffle_partitions(spark))  # few bytes, but each takes its time
+    values = materialize(spread.mapInArrow(_held, "value string, n long, number string, bare string, looked string").withColumn("id", F.monotonically_increasing_id()), "values")
     listed = (
         entries.select(F.col(form).cast("string").alias("form"), strip(F.col(canon).cast("string")).alias("canon"))
         .dropna().filter((strip(F.col("form")) != "") & (F.col("canon") != "")).distinct()
@@ -357,13 +358,13 @@ def canonicalise(df: DataFrame, key_col: str, value: str, entries: DataFrame, fo
     sure = state.df.filter("sure is not null").select("id", F.struct(F.lit(1.0).alias("score"), F.col("sure").alias("canon"), F.lit(1.0).alias("cosine")).alias("best"))
     open_ = state.df.filter("sure is null and number is null").select("id", F.col("looked").alias("text"))
 
-    spelt = forms.df.filter("key <> ''").groupBy("key", "canon").agg(F.collect_set("bare").alias("bares"))
+    spelt = forms.df.filter("key <> ''").groupBy("key", "canon").agg(F.collect_set("bare").alias("bares"), F.max("words").alias("words"))
     counted = spelt.mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
     held = np.zeros(BUCKETS)
     held[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
-    number_of, width = spelt.count(), forms.df.agg(F.max("words")).first()[0] or 1
+    number_of, width = spelt.agg(F.count("*"), F.coalesce(F.max("words"), F.lit(1))).first()
+    asked_for, total, most = values.df.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     shared = spark.sparkContext.broadcast(weights(held, number_of))  # BUCKETS numbers, 1 MB
-    asked_for = open_.count()
     chunk = max(chunk, min(block, math.ceil(asked_for / shuffle_partitions(spark))))
     blocks, chunks = max(1, math.ceil(number_of / block)), max(1, math.ceil(asked_for / chunk))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -385,7 +386,7 @@ def canonicalise(df: DataFrame, key_col: str, value: str, entries: DataFrame, fo
     lead = F.coalesce(F.get("scores", F.lit(0)) - F.get("scores", F.lit(1)), F.lit(1.0))
     found = order.filter((F.col("best.score") >= ACCEPT) & (lead >= MARGIN)).select("id", "best").unionByName(sure)
     answer = values.df.select("id", "value").join(found, "id", "left").select("value", "best.canon", "best.score", "best.cosine")
-    hot = hot_keys(values.df, "value", "n", values.df.agg(F.sum("n")).first()[0] or 0)
+    hot = hot_keys(values.df, "value", "n", total) if most > HOT_ROWS else []
     out = join_salted(rows.filter("value is not null"), answer, "value", "key", hot).select("key", "value", "canon", "score", "cosine")
     nulls = rows.filter("value is null").select("key", "value", *[F.lit(None).cast(t).alias(c) for c, t in (("canon", "string"), ("score", "double"), ("cosine", "double"))])
     return out.unionByName(nulls).withColumnRenamed("key", key_col)
