@@ -54,19 +54,22 @@ def phon_of(canonical: Column, drop_final_nasal: bool = True) -> Column:
     """Phoneme string of a word in its canonical spelling (``norm_word``)."""
     cons = _letters(CONSONANTS)
     sign = _letters(SIGNS) + VOCALIC_R_SIGN
-    t = F.translate(canonical, " -" + _RI, "")
-    t = F.translate(t, _UPPER + _UPPER.lower() + _MOVED, _MOVED * 2)
-    t = F.regexp_replace(t, f"(?<![{cons}])[{sign}]", "")  # a vowel sign counts only right after a consonant
-    t = F.regexp_replace(t, f"([{cons}])(?![{VIRAMA}{sign}]|\\z)", "$1a")
     origin = VIRAMA + cons + _letters(VOWELS) + _letters(SIGNS) + VOCALIC_R + VOCALIC_R_SIGN + ANUSVARA + VISARGA
     target = _sounds(CONSONANTS) + _sounds(VOWELS) + _sounds(SIGNS) + _RI * 3 + "nH"
-    # the virama is deleted, so it has to come last in ``translate``'s list
-    t = F.translate(t, origin[1:] + VIRAMA, target)
-    t = F.regexp_replace(t, _RI, "ri")
-    t = F.regexp_replace(t, f"[^A-Za-z{_MOVED}\\p{{Nd}}{odd_digits()}]", "")
-    t = F.translate(t, _MOVED, _UPPER)
-    t = F.regexp_replace(F.regexp_replace(t, r"(.)\1+", "$1"), r"H\z", "")
-    return F.regexp_replace(t, r"n\z", "") if drop_final_nasal else t
+
+    def sounds(t: Column, moved: str) -> Column:
+        t = F.regexp_replace(t, f"(?<![{cons}])[{sign}]", "")  # a vowel sign counts only right after a consonant
+        t = F.regexp_replace(t, f"([{cons}])(?![{VIRAMA}{sign}]|\\z)", "$1a")
+        # the virama is deleted, so it has to come last in ``translate``'s list
+        t = F.replace(F.translate(t, origin[1:] + VIRAMA, target), F.lit(_RI), F.lit("ri"))
+        return F.regexp_replace(t, f"[^A-Za-z{moved}\\p{{Nd}}{odd_digits()}]", "")
+
+    t = F.translate(canonical, " -" + _RI, "")
+    # few words have Latin letters, which have to stand aside while the others become Latin ones
+    latin = F.translate(sounds(F.translate(t, _UPPER + _UPPER.lower() + _MOVED, _MOVED * 2), _MOVED), _MOVED, _UPPER)
+    t = F.when(t.rlike(f"[A-Za-z{_MOVED}]"), latin).otherwise(sounds(t, ""))
+    t = F.regexp_replace(t, r"(.)\1+", "$1")
+    return F.regexp_replace(t, r"n?H\z|n\z" if drop_final_nasal else r"H\z", "")
 
 
 def phon(c: Column, drop_final_nasal: bool = True) -> Column:

@@ -63,7 +63,7 @@ def once(f, *columns: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """White space collapsed to one blank, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(c, f"{WHITE}+", " "), "^ | $", "")
+    return F.trim(F.regexp_replace(c, f"{WHITE}+", " "))
 
 
 def words(c: Column) -> Column:

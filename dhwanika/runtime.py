@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +62,28 @@ def materialize(df: DataFrame, name: str) -> Materialized:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return Materialized(spark, path, df.schema)
+    made = Materialized(spark, path, df.schema)
+    for held in _scratch[-1:]:
+        held.append(made)
+    return made
+
+
+_scratch: list[list[Materialized]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete the tables that were materialised in the block when it ends.
+
+    Results read them, so they have to be written or collected inside.  Blocks may be nested; each
+    deletes its own.
+    """
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for made in _scratch.pop():
+            made.drop()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

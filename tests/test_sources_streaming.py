@@ -97,3 +97,21 @@ def test_written_tables_are_dropped(spark):
     import os
 
     assert not os.path.exists(m.path.removeprefix("file:"))
+
+
+def test_scratch(spark):
+    """Tables made in the block go with it, those made outside stay."""
+    import os
+
+    from dhwanika.runtime import materialize, scratch
+
+    at = lambda m: m.path.removeprefix("file:")
+    outer = materialize(spark.range(3), "outer")
+    with scratch():
+        one = materialize(spark.range(3), "one")
+        with scratch():
+            two = materialize(spark.range(3), "two")
+        assert not os.path.exists(at(two)) and one.df.count() == 3
+    assert not os.path.exists(at(one)) and outer.df.count() == 3
+    outer.drop()
+    outer.drop()
