@@ -30,14 +30,16 @@ from pyspark.sql import functions as F
 
 from ..runtime import hot_keys, join_salted, materialize
 
-# Letters of other alphabets with the shape of a Latin one, fixed values by Unicode name order.
-TWINS = dict(
-    zip(
-        "АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνο",
-        "ABESIJKMHOPCTYXYGQWaesijopcyxhdqw" + "ABEZHIKMNOPTYXvo",
-        strict=True,
-    )
-)
+# Letters of other alphabets with the shape of a Latin one, fixed values by alphabet and code point.
+ALIKE = {
+    "cyrillic": ("АВЕЅІЈКМНОРСТУХҮӀԌԚԜаеѕіјорсухѵһԁԛԝ", "ABESIJKMHOPCTYXYIGQWaesijopcyxvhdqw"),
+    "greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορ", "ABEZHIKMNOPTYXavop"),
+    "armenian": ("ՕՍզհոսօ", "OUqhnuo"),
+    "cherokee": ("ᎠᎡᎢᎩᎪᎫᎬᎳᎷᎻᏀᏃᏏᏒᏚᏞᏟᏢᏦᏧ", "DRTyAJEWMHGZbRSLCPKd"),
+    "lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    "phonetic": ("ɑɡ", "ag"),
+}
+TWINS = {a: b for signs, latin in ALIKE.values() for a, b in zip(signs, latin, strict=True)}
 _LETTERS = re.compile(rf"\w*[{''.join(TWINS)}]\w*")
 _LATIN = re.compile("[A-Za-z]")
 _letter_twins = str.maketrans(TWINS)

@@ -8,7 +8,7 @@ from dhwanika.llm.looks import canonical, look, looks, pairs_of, same_looking_co
 SIGNS = list("aеxХ| \t।-‐‍​­ािेैोौअआएओ़्ंकजరఒౕైଅାୌ́éｆﬁ가ﾞカ…²Ạ̊") + ["  ", " ", "\n"]
 SAME = [
     ("को", "काे"), ("आम", "अाम"), ("औ", "अौ"), ("ज़ा", "जा़"), ("क़", "क़"), ("oil", "оil"), ("ｏｉｌ", "oil"), ("a b", " a  b "),
-    ("क‍ा", "का"), ("ﬁeld", "field"), ("है।", "है|"), ("a‐b", "a-b"), ("ఓ", "ఒౕ"), ("ଆ", "ଅା"), ("é", "é"), ("ab", "a⁠b﻿"), ("१०", "१౦"), ("౨౦", "౨୦"),
+    ("क‍ा", "का"), ("ﬁeld", "field"), ("है।", "है|"), ("a‐b", "a-b"), ("ఓ", "ఒౕ"), ("ଆ", "ଅା"), ("é", "é"), ("ab", "a⁠b﻿"), ("१०", "१౦"), ("goал", "gоaл"), ("BAG", "ꓐᎪԌ"), ("no vow", "ոօ ѵօw"), ("౨౦", "౨୦"),
 ]
 OTHER = [("है।", "है"), ("the", "THE"), ("5", "५"), ("ज", "ज़"), ("2", "²"), ("a b", "ab"), ("क", "ख"), (".", "।"), ("पाँच", "पांच"), ("1", "①")]
 
