@@ -40,7 +40,9 @@ def alignment_chunks(ref: pa.Array, hyp: pa.Array) -> pa.Array:
 def aligned_chunks(df: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
     """(key, nth, type, ref_start, ref_end, hyp_start, hyp_end): the runs of every row's two texts, as words, in order.
 
-    Places count words from 0; the end is the place after the last.
+    Places count words from 0; the end is the place after the last.  Defined cases: a null or blank text has
+    no words, and two such texts give no rows; repeated keys give repeated rows; a null key is a key like any
+    other; texts of any length are aligned whole; an empty table gives no rows; other columns are ignored.
     """
     runs = df.select(F.col(key).alias("key"), F.posexplode(alignment_chunks(words(F.col(ref)), words(F.col(hyp)))).alias("nth", "x"))
     return runs.select(F.col("key").alias(key), "nth", "x.*")

@@ -153,6 +153,27 @@ def test_pick(spark, parts, want, gain):
     assert V.robust_pick(segments, clips).first()["speaker"] == want
 
 
+def test_a_clip_with_a_third_of_all_turns(spark, monkeypatch):
+    """Against numpy; long audio leaves the worker in parts, null samples are silence."""
+    monkeypatch.setattr(V, "HELD", 100)
+    rng = np.random.default_rng(3)
+    clips, turns, want = [], [], {}
+    for c in range(21):
+        wave = rng.uniform(-1, 1, 3000 if c == 7 else int(rng.integers(0, 60))).astype("float32")
+        audio = [None if i % 50 == 9 else float(x) for i, x in enumerate(wave)]
+        clips.append((c, 10, audio))
+        heard = np.array([0.0 if x is None else x for x in audio]) ** 2
+        for k in range(200 if c == 7 else 20):
+            a = float(rng.integers(0, 310))
+            b = a + float(rng.integers(1, 30))
+            turns.append((c, k, a, b, "ab"[k % 2]))
+            want[c, k] = heard[int(a * 10) : int(b * 10)].sum()
+    segments = spark.createDataFrame(turns, "clip_id long, seg_idx int, start double, end double, speaker string")
+    known = spark.createDataFrame(clips, "clip_id long, sr int, audio array<float>")
+    got = {(r["clip_id"], r["seg_idx"]): r["energy"] for r in V.segment_energy(segments, known, 32).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_energy_over_chunks(spark):
     import random
 
