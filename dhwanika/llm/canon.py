@@ -39,6 +39,7 @@ THRESHOLD, MOST_EDITS, ACCEPT, MARGIN = 0.3, 0.37, 0.35, 0.01
 COSINE = 0.5  # share of the cosine in the score; the rest is the likeness by edits
 UNCOVERED = 0.3  # weight of the part of a value that a match leaves aside
 ABBREVIATION = 0.2  # edits per sign that an abbreviation counts as
+SPANS = 1 << 17  # stretches of words that are looked up at once
 CELLS = 1 << 22  # cells of a table that is worked on at once
 
 # Latin spellings of one sound, longest first; fixed rules of the key.
@@ -263,20 +264,27 @@ class Matcher:
 
     def rank(self, looked: list[str], width: int, words: Words) -> list[list[tuple[float, str, float, float]]]:
         """The two canonical values of best score for every value: (score, canonical value, cosine, edits per sign)."""
-        parts = [list(spans(t, width, words)) for t in looked]
-        hits = self.hits(list(dict.fromkeys(s for p in parts for s, _ in p)))
-        out = []
-        for p in parts:
-            best: dict[str, tuple[float, float, float]] = {}
-            for s, aside in p:
+        best: list[dict[str, tuple[float, float, float]]] = [{} for _ in looked]
+        held: list[tuple[int, Span, float]] = []  # of a long value its stretches are settled in parts
+
+        def settle() -> None:
+            hits = self.hits(list(dict.fromkeys(s for _, s, _ in held)))
+            for i, s, aside in held:
                 for c, score, cosine, ratio in hits.get(s, ()):
                     v = (score - UNCOVERED * aside, cosine, -ratio)
-                    if c not in best or v > best[c]:
-                        best[c] = v
-            # a second one is needed for the lead; a third can't be second in any block's company
-            order = sorted(best.items(), key=lambda x: (-x[1][0], x[0]))[:2]
-            out.append([(v[0], c, v[1], -v[2]) for c, v in order])
-        return out
+                    if c not in best[i] or v > best[i][c]:
+                        best[i][c] = v
+            held.clear()
+
+        for i, t in enumerate(looked):
+            for s, aside in spans(t, width, words):
+                held.append((i, s, aside))
+                if len(held) >= SPANS:
+                    settle()
+        settle()
+        # a second one is needed for the lead; a third can't be second in any block's company
+        order = (sorted(b.items(), key=lambda x: (-x[1][0], x[0]))[:2] for b in best)
+        return [[(v[0], c, v[1], -v[2]) for c, v in o] for o in order]
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

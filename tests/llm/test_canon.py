@@ -153,6 +153,17 @@ def test_no_candidate_is_lost_by_its_rank(spark, near, want):
     assert [r["canon"] for r in canon.canonicalise(df, "id", "v", listed, "form", "canon").collect()] == [want]
 
 
+def test_stretches_settled_in_parts(monkeypatch):
+    entries = [(canon.key(w), w, [canon.bare(w)]) for w in ("गेहूं", "टमाटर", "खरपतवार")]
+    held = np.zeros(canon.BUCKETS)
+    np.add.at(held, canon.grams([k for k, _, _ in entries])[1], 1)
+    m = canon.Matcher(entries, canon.weights(held, 3))
+    values = ["शायद गेहू है", "टमाटर और गेहूं", "", "कुछ भी नहीं " * 300 + "खरपतवा"]
+    whole = m.rank(values, 2, canon.Words())
+    monkeypatch.setattr(canon, "SPANS", 3)
+    assert m.rank(values, 2, canon.Words()) == whole and [bool(x) for x in whole] == [True, True, False, True]
+
+
 def test_long_values_take_time_in_proportion():
     words = ["कीट", "दाना", "रोग", "गेहूं", "चूर्ण"]
     assert sum(1 for _ in canon.spans(" ".join(words * 200), 3, canon.Words())) == sum(1000 - n + 1 for n in (1, 2, 3, 4))
