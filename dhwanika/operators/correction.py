@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.normalization import fold_digits
 from ..functions.unicode import WHITE, nfkc, squeeze, words
-from ..runtime import strip
+from ..runtime import materialize, strip
 from .matching import build_vocabulary, match
 
 OOV_MAX, REL_MIN, MIN_SIM, TARGET_MIN = 0, 3, 0.90, 1
 TIER = "oov_recovery"
+FEW_EDITS = 100_000  # corrected tokens that are broadcast, some 15 MB; more are joined by a shuffle
 # Diacritics that make no other word, and labels that make two terms one.
 FOLDED = ("ँॉॲ", "ंोअ")
 SILENT = "़्"
@@ -122,41 +123,44 @@ def correct(
     ``target_min`` no replacement is a candidate itself, so all words are replaced at once; otherwise the
     tokens of a text are folded over its words.
     """
+    canon = F.col("_canon")
     rows = df.withColumn("_canon", canonical_text(F.col(text)))
-    distinct = rows.select("_canon").distinct()
-    candidates = distinct.select(F.explode(F.array_distinct(tokens(F.col("_canon")))).alias("token")).filter(is_devanagari(F.col("token"))).distinct()
-    table = edit_table(candidates, lexicon_weights, counts, oov_max, rel_min, min_sim, target_min)
+    # each task combines its own tokens, so no text is shuffled for them
+    candidates = rows.select(F.explode(F.array_distinct(tokens(canon))).alias("token")).filter(is_devanagari(F.col("token"))).distinct()
+    # a table of its own, so that neither its plan nor the words without a correction go into the join with the texts
+    table = materialize(edit_table(candidates, lexicon_weights, counts, oov_max, rel_min, min_sim, target_min), "edits").df
+    small = table.limit(FEW_EDITS + 1).count() <= FEW_EDITS
     in_turn = oov_max >= target_min
-    heard = tokens(F.col("_canon")) if in_turn else F.split("_canon", " ")
+    said, heard, read = F.split("_canon", " "), tokens(canon), ~canon.isin("", "NA")
+    # texts go by their hash: of two with the same hash each looks up words of its own only
+    keyed = rows.withColumn("_key", F.when(read, F.xxhash64("_canon")))
     found = (
-        distinct.select("_canon", F.explode(F.array_distinct(heard)).alias("token"))
-        .join(table, "token")
-        .groupBy("_canon")
-        .agg(F.map_from_entries(F.collect_list(F.struct("token", F.struct("surface", "sim")))).alias("_map"))
-    )
-    read = ~F.col("_canon").isin("", "NA")
-    said = F.split("_canon", " ")
-    edits = F.transform(
-        F.filter(said, lambda w: F.map_contains_key("_map", w)),
-        lambda w: F.struct(
-            w.alias("from"), F.col("_map")[w]["surface"].alias("to"), F.round(F.col("_map")[w]["sim"], 3).alias("sim"), F.lit(TIER).alias("tier")
-        ),
-    )
-    none = F.lit([]).cast("array<struct<from:string,to:string,sim:double,tier:string>>")
-    new = F.array_join(F.transform(said, lambda w: F.coalesce(F.col("_map")[w]["surface"], w)), " ")
+        keyed.filter("_key is not null").select("_key", F.explode(F.array_distinct(heard if in_turn else said)).alias("token"))
+        .join(F.broadcast(table) if small else table, "token")
+        .groupBy("_key")
+        .agg(F.map_from_entries(F.collect_set(F.struct("token", F.struct("surface", "sim")))).alias("_map"))
+    )
+    out = keyed.join(found, "_key", "left")
     if in_turn:
-        found = found.withColumn("_fold", _folded(said, tokens(F.col("_canon"))))
+        out = out.withColumn("_fold", F.when(F.col("_map").isNotNull(), _folded(said, heard)))
         edits, new = F.col("_fold.edits"), F.array_join("_fold.words", " ")
-    changed = read & F.col("_map").isNotNull()
-    if in_turn:  # a token may not be a whole word, or no more be one
-        changed = read & F.coalesce(F.size("_fold.edits") > 0, F.lit(False))
+    else:
+        edits = F.transform(
+            F.filter(said, lambda w: F.map_contains_key("_map", w)),
+            lambda w: F.struct(
+                w.alias("from"), F.col("_map")[w]["surface"].alias("to"), F.round(F.col("_map")[w]["sim"], 3).alias("sim"), F.lit(TIER).alias("tier")
+            ),
+        )
+        new = F.array_join(F.transform(said, lambda w: F.coalesce(F.col("_map")[w]["surface"], w)), " ")
+    none = F.lit([]).cast("array<struct<from:string,to:string,sim:double,tier:string>>")
+    changed = F.size("_edits") > 0  # a token may not be a whole word, or no more be one
     return (
-        rows.join(found, "_canon", "left")
-        .withColumn("corrected", F.when(~read, F.col(text)).when(changed, new).otherwise(F.col("_canon")))
+        out.withColumn("_edits", F.coalesce(F.when(F.col("_map").isNotNull(), edits), none))
+        .withColumn("corrected", F.when(~read, F.col(text)).when(changed, new).otherwise(canon))
         .withColumn("changed", changed)
-        .withColumn("edits", F.when(changed, edits).otherwise(none))
+        .withColumn("edits", F.col("_edits"))
         .withColumn("n_recovered", F.size("edits"))
-        .drop("_canon", "_map", "_fold")
+        .drop("_key", "_canon", "_map", "_fold", "_edits")
     )
 
 
