@@ -477,7 +477,9 @@ def _ending(tail: str, punctuated: bool, limit: bool, after: np.ndarray) -> tupl
 
 def _parted(t: pa.Table, tops: list[tuple[str, int]], per_text: int, hold: bool) -> pa.Table:
     """Weights learned from the texts of one part, in blocks, and how many examples were learned from and held out."""
-    t = t.sort_by("h")  # an order that doesn't depend on the tasks
+    t = t.sort_by([("h", "ascending"), ("t", "ascending")])  # an order that doesn't depend on the tasks
+    hs = t["h"].to_numpy()
+    t = t.filter(pa.array(np.r_[True, hs[1:] != hs[:-1]]))  # copies from several tasks
     lists, ys, left = [], [], 0
     for h, form in zip(t["h"].to_pylist(), _form(t["t"].to_pylist())):
         x, y = examples([form], tops, per_text)
@@ -509,10 +511,18 @@ def _added(t: pa.Table) -> pa.Table:
     return pa.table([pa.array([v], f.type) for v, f in zip(row, t.schema)], names=PARTED_NAMES)
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's texts without copies, so that texts are shuffled once, and a copied one once a task."""
+    seen: set[int] = set()
+    for b in batches:
+        new = [h not in seen and not seen.add(h) for h in b["h"].to_pylist()]
+        yield b.filter(pa.array(new, pa.bool_()))
+
+
 def _learned(texts: DataFrame, n: int, tops: list[tuple[str, int]], per_text: int, hold: bool) -> tuple[np.ndarray, int, int]:
     """Weights from the examples of all ``n`` texts (h, t), and the numbers of examples learned from and held out."""
     part = F.pmod(F.shiftright("h", 20), F.lit(-(-n // PART)))  # h itself tells which texts are held out
-    made = texts.select(part.alias("part"), "h", "t").groupBy("part").applyInArrow(lambda t: _parted(t, tops, per_text, hold), PARTED)
+    made = texts.mapInArrow(_once, "h long, t string").select(part.alias("part"), "h", "t").groupBy("part").applyInArrow(lambda t: _parted(t, tops, per_text, hold), PARTED)
     # 64 parts at a time, so that no task holds all of many
     some = made.withColumn("_some", F.shiftright("part", 6)).groupBy("block", "_some").applyInArrow(lambda t: _added(t.select(PARTED_NAMES)), PARTED)
     rows = some.groupBy("block").applyInArrow(_added, PARTED).toArrow().sort_by("block")
@@ -566,21 +576,21 @@ def _fit(df: DataFrame, text: str, closed: DataFrame, rows: DataFrame, bounds: D
         return none, _scored(rows, none.weights, after)
     tops = [(r["unit"], r["top"]) for r in bounds.groupBy("unit", "top").agg(F.sum("docs").alias("docs")).orderBy(F.desc("docs"), "unit", "top").limit(MAX_LIMITS).collect()]
     t = F.col(text).cast("string")
-    # copies of a text are one example, combined on the map side
-    texts = df.select(t.alias("t")).filter(strip(F.col("t")) != "").withColumn("h", F.xxhash64("t")).filter(F.col("h") <= least).groupBy("h").agg(F.min("t").alias("t"))
+    texts = df.select(t.alias("t")).filter(strip(F.col("t")) != "").select(F.xxhash64("t").alias("h"), "t").filter(F.col("h") <= least)
+    once = lambda x: x.groupBy("h").agg(F.min("t").alias("t"))  # copies of a text are one example, combined on the map side
     # a fifth of the texts is held out, none of whose sentences is learned from
     w, own, out = _learned(texts, n, tops, per_text, True)
-    held = texts.filter(F.col("h") % 5 == 0)
+    held = once(texts.filter(F.col("h") % 5 == 0))
     if not own or not out:
         if own + out == 0:
             return none, _scored(rows, none.weights, after)
         w, own, _ = _learned(texts, n, tops, per_text, False)
-        held, out = texts, own
+        held, out = once(texts), own
     p, cut, intact = _counted(_held_out(held, w, tops, per_text))
     scored = materialize(_scored(rows, w, after), "scored").df
     # each distinct text once, by the ending of one of its copies
-    once = scored.filter("words > 0").filter(F.col("h") <= least).groupBy("h").agg(F.min(F.struct("limit", "p"))["p"].alias("p"))
-    real, _, real_n = _counted(once.select(_bin(F.col("p")).alias("bin"), F.lit(0).alias("y"), F.lit(1).alias("n")))
+    ends = scored.filter("words > 0").filter(F.col("h") <= least).groupBy("h").agg(F.min(F.struct("limit", "p"))["p"].alias("p"))
+    real, _, real_n = _counted(ends.select(_bin(F.col("p")).alias("bin"), F.lit(0).alias("y"), F.lit(1).alias("n")))
     share = share_of_cut(real, n=real_n)
     t = _best(p, cut, intact, share)
     said = p > 0.5
